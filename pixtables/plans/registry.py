@@ -59,7 +59,34 @@ VIEWS: dict[str, str] = {
     "run_events": """SELECT event_id, ts, user_id AS run_id, CASE event_type WHEN 'view' THEN 'progress' WHEN 'click' THEN 'progress'
   WHEN 'signup' THEN 'stage_start' WHEN 'purchase' THEN 'stage_result' ELSE 'error' END AS kind, value, props AS payload FROM events""",
 }
-_NEEDS = {"dense": ["px"], "lum": ["px"], "dlum": ["px", "dense"], "cand": ["px"], "points": ["px"]}
+
+
+def ss(e: str, lo: str, hi: str) -> str:
+    """SQL twin of functions.fixed.smoothstep."""
+    t = f"least(greatest((({e})-({lo}))/greatest(({hi})-({lo}),1e-12),0e0),1e0)"
+    return f"({t}*{t}*(3e0-2e0*{t}))"
+
+
+def lum3(s: str = "", p: str = "") -> str:
+    return f"(0.2126e0*{p}r{s}+0.7152e0*{p}g{s}+0.0722e0*{p}b{s})"
+
+
+def cl(e: str, lo: str = "0e0", hi: str = "1e0") -> str:
+    return f"least(greatest({e},{lo}),{hi})"
+
+
+def _masks(src: str) -> str:
+    return (f"SELECT p.*, {ss('l','q55','q92')} AS subject, 1e0-{ss('l','q10','q55')} AS background, CASE WHEN l>=q92 THEN 1e0 ELSE 0e0 END AS core FROM {src} p "
+            f"JOIN (SELECT image_id, quantile_cont(l,0.10) q10, quantile_cont(l,0.55) q55, quantile_cont(l,0.92) q92 FROM {src} GROUP BY image_id) USING (image_id)")
+
+
+_CAND2 = "r*(1e0-0.1e0*2)+0.02e0*2 AS r2, g*(1e0-0.05e0*2) AS g2, b*(1e0-0.1e0*2)+0.01e0*x*2/16 AS b2"
+VIEWS["msk"] = _masks("lum")
+VIEWS["dmsk"] = _masks("dlum")
+VIEWS["pair"] = f"SELECT *, {_CAND2} FROM msk"
+VIEWS["dpair"] = f"SELECT *, {_CAND2} FROM dmsk"
+_NEEDS = {"msk": ["px", "lum"], "dmsk": ["px", "dense", "dlum"], "pair": ["px", "lum", "msk"], "dpair": ["px", "dense", "dlum", "dmsk"],
+          "dense": ["px"], "lum": ["px"], "dlum": ["px", "dense"], "cand": ["px"], "points": ["px"]}
 
 
 def with_views(names: str, body: str, **extra: str) -> str:

@@ -13,6 +13,8 @@ _ADAPTIVE = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # tables hash-partitioned by image join on (image, y, x) without another shuffle
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
 
 

@@ -3,8 +3,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.fixed import smoothstep
+from ..functions.pixel import luminance
 from ..operators.grid import dense_grid
-from ..operators.quantiles import quantiles
+from ..operators.quantiles import quantiles, with_quantiles
 from ..session import declare_image_size
 
 
@@ -146,3 +148,46 @@ def run_events(spark, sf_dir) -> DataFrame:
         F.when(t.isin("view", "click"), "progress").when(t == "signup", "stage_start").when(t == "purchase", "stage_result").otherwise("error").alias("kind"),
         "value", F.col("props").alias("payload"),
     )
+
+
+def lum(spark, sf_dir) -> DataFrame:
+    return px(spark, sf_dir).withColumn("l", luminance(F.col("r"), F.col("g"), F.col("b")))
+
+
+def dlum(spark, sf_dir) -> DataFrame:
+    return dense(spark, sf_dir).withColumn("l", luminance(F.col("r"), F.col("g"), F.col("b")))
+
+
+def with_masks(pix: DataFrame) -> DataFrame:
+    """Soft subject, background and core weights from luminance quantiles of the image."""
+    out = with_quantiles(pix, ["image_id"], [(F.col("l"), {"q10": 0.10, "q55": 0.55, "q92": 0.92})])
+    l = F.col("l")
+    out = out.withColumns({
+        "subject": smoothstep(l, F.col("q55"), F.col("q92")),
+        "background": F.lit(1.0) - smoothstep(l, F.col("q10"), F.col("q55")),
+        "core": (l >= F.col("q92")).cast("double"),
+    })
+    return out.drop("q10", "q55", "q92", "n_q10")
+
+
+def masked(spark, sf_dir) -> DataFrame:
+    return with_masks(lum(spark, sf_dir))
+
+
+def with_candidate(pix: DataFrame, k: int) -> DataFrame:
+    """Candidate k of ``cand`` next to the baseline, for operators on full grids."""
+    return pix.withColumns({
+        "r2": F.col("r") * (F.lit(1.0) - F.lit(0.1) * k) + F.lit(0.02) * k,
+        "g2": F.col("g") * (F.lit(1.0) - F.lit(0.05) * k),
+        "b2": F.col("b") * (F.lit(1.0) - F.lit(0.1) * k) + F.lit(0.01) * F.col("x") * k / 16,
+    })
+
+
+def dmasked(spark, sf_dir) -> DataFrame:
+    return with_masks(dlum(spark, sf_dir))
+
+
+def pair(spark, sf_dir, k: int = 2) -> DataFrame:
+    """Baseline with masks joined to candidate ``k`` of the same image."""
+    c = cand(spark, sf_dir).where(F.col("k") == k).select("image_id", "y", "x", *[F.col(n).alias(f"{n}2") for n in "rgb"])
+    return masked(spark, sf_dir).join(c, ["image_id", "y", "x"])
