@@ -14,8 +14,13 @@ def fixed(col: Column, digits: int = 6) -> Column:
 
 
 def clamp(col: Column, lo: float = 0.0, hi: float = 1.0) -> Column:
-    """Bounded value; null stays null."""
-    return F.when(col.isNotNull(), F.least(F.greatest(col, F.lit(lo)), F.lit(hi)))
+    """Bounded value of a column without nulls (the argument is named once, so nested uses stay small)."""
+    return F.least(F.greatest(col, F.lit(lo)), F.lit(hi))
+
+
+def clamp_or_null(col: Column, lo: float = 0.0, hi: float = 1.0) -> Column:
+    """Bounded value that stays null where the input is null."""
+    return F.when(col.isNotNull(), clamp(col, lo, hi))
 
 
 def smoothstep(col: Column, lo, hi) -> Column:

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .fixed import clamp
+from .fixed import clamp, clamp_or_null
 
 # Rec.709 luminance weights (fixed values).
 REC709 = (0.2126, 0.7152, 0.0722)
@@ -73,7 +73,7 @@ def mtf(v: Column, shadows: Column, midtones: Column, highlights: Column) -> Col
     """Closed-form midtone transfer, pinned at both ends; null where it is unstable."""
     n = clamp((v - shadows) / F.greatest(highlights - shadows, F.lit(1e-12)))
     den = (F.lit(2.0) * midtones - 1.0) * n - midtones
-    body = F.when(F.abs(den) >= 1e-12, clamp((midtones - 1.0) * n / den))
+    body = F.when(F.abs(den) >= 1e-12, clamp_or_null((midtones - 1.0) * n / den))
     return F.when(v <= shadows, F.lit(0.0)).when(v >= highlights, F.lit(1.0)).otherwise(body)
 
 
