@@ -96,7 +96,7 @@ def with_views(names: str, body: str, **extra: str) -> str:
         for m in [*_NEEDS.get(n, []), n]:
             if m not in order:
                 order.append(m)
-    parts = [f"{n} AS ({VIEWS[n]})" for n in order] + [f"{n} AS ({s})" for n, s in extra.items()]
+    parts = [f"{n} AS MATERIALIZED ({VIEWS[n]})" for n in order] + [f"{n} AS MATERIALIZED ({s})" for n, s in extra.items()]
     return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body
 
 
