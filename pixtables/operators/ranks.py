@@ -134,5 +134,5 @@ def largest_rectangle(mask: DataFrame, key: str = "image_id") -> DataFrame:
     right = F.aggregate("_hs", width + 1, lambda a, s: F.when((s["x"] > C("x")) & (s["h"] < C("h")), F.least(a, s["x"])).otherwise(a))
     c = m.where(C("h") > 0).select(key, "y", "h", left.alias("_l"), right.alias("_r"))
     c = c.select(key, (C("_l") + 1).alias("x0"), (C("y") - C("h") + 1).alias("y0"), (C("_r") - C("_l") - 1).alias("width"), C("h").alias("height"))
-    best = F.max(F.struct((C("width") * C("height")).alias("area"), (-C("x0")).alias("nx"), (-C("y0")).alias("ny"), "width", "height"))
-    return c.groupBy(key).agg(best.alias("b")).select(key, "b.area", (-C("b.ny")).alias("y0"), (-C("b.nx")).alias("x0"), "b.width", "b.height")
+    best = F.max(F.struct((C("width") * C("height")).alias("area"), (-C("x0")).alias("nx"), (-C("y0")).alias("ny"), (-C("width")).alias("nw"), "height"))
+    return c.groupBy(key).agg(best.alias("b")).select(key, "b.area", (-C("b.ny")).alias("y0"), (-C("b.nx")).alias("x0"), (-C("b.nw")).alias("width"), "b.height")

@@ -90,7 +90,7 @@ def edge_trim(spark, d):
     return op.stable_start(op.rolling_profile(fx.dlum(spark, d), "y"), 3)
 
 
-@query("largest_rectangle", with_views("dlum", """SELECT image_id, area, y0, x0, width, height FROM (SELECT r.image_id, CAST((y1-y0+1)*(x1-x0+1) AS INT) AS area, CAST(y0 AS INT) y0, CAST(x0 AS INT) x0, CAST(x1-x0+1 AS INT) width, CAST(y1-y0+1 AS INT) height, row_number() OVER (PARTITION BY r.image_id ORDER BY (y1-y0+1)*(x1-x0+1) DESC, x0, y0) rn FROM
+@query("largest_rectangle", with_views("dlum", """SELECT image_id, area, y0, x0, width, height FROM (SELECT r.image_id, CAST((y1-y0+1)*(x1-x0+1) AS INT) AS area, CAST(y0 AS INT) y0, CAST(x0 AS INT) x0, CAST(x1-x0+1 AS INT) width, CAST(y1-y0+1 AS INT) height, row_number() OVER (PARTITION BY r.image_id ORDER BY (y1-y0+1)*(x1-x0+1) DESC, x0, y0, x1) rn FROM
   (SELECT i.image_id, ya.y y0, yb.y y1, xa.x x0, xb.x x1 FROM (SELECT DISTINCT image_id FROM ps) i, range(16) ya(y), range(16) yb(y), range(16) xa(x), range(16) xb(x) WHERE ya.y<=yb.y AND xa.x<=xb.x) r
   JOIN ps a ON a.image_id=r.image_id AND a.y=r.y1 AND a.x=r.x1 LEFT JOIN ps b ON b.image_id=r.image_id AND b.y=r.y0-1 AND b.x=r.x1 LEFT JOIN ps c ON c.image_id=r.image_id AND c.y=r.y1 AND c.x=r.x0-1
   LEFT JOIN ps e ON e.image_id=r.image_id AND e.y=r.y0-1 AND e.x=r.x0-1 WHERE a.s-coalesce(b.s,0)-coalesce(c.s,0)+coalesce(e.s,0)=(y1-y0+1)*(x1-x0+1)) WHERE rn=1""",
