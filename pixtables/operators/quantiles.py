@@ -165,3 +165,19 @@ def robust_sigma(
         sigma = F.when(F.col(f"n_{n}_mad") >= minimum, F.lit(1.4826) * F.col(f"{n}_mad")).otherwise(F.lit(0.0))
         cols += [F.col(f"_{n}").alias(f"{n}_med"), sigma.alias(f"{n}_sigma"), F.col(f"n_{n}_mad").alias(f"{n}_n")]
     return out.select(*keys, *cols)
+
+
+def with_percent_rank(df: DataFrame, keys: Sequence[str], value: Column, out: str) -> DataFrame:
+    """Adds (rank - 1) / (n - 1) of a value within its group, spread over value buckets.
+
+    Bucket counts give the number of smaller values below a bucket, a window inside
+    the bucket the rest, so the rows of a large image are ranked in many tasks.
+    """
+    keys = list(keys)
+    d = df.withColumn("_pv", value.cast("double")).withColumn("_pb", _bucket(F.col("_pv")))
+    hist = d.groupBy(*keys, "_pb").agg(F.count("*").alias("_pc"))
+    upto = W.partitionBy(*keys).orderBy("_pb")
+    hist = hist.select(*keys, "_pb", (F.sum("_pc").over(upto) - F.col("_pc")).alias("_pl"), F.sum("_pc").over(W.partitionBy(*keys)).alias("_pn"))
+    d = d.join(hist, [*keys, "_pb"])
+    rank = F.rank().over(W.partitionBy(*keys, "_pb").orderBy("_pv")) - 1 + F.col("_pl")
+    return d.withColumn(out, rank / F.greatest(F.col("_pn") - 1, F.lit(1))).drop("_pv", "_pb", "_pl", "_pn")
