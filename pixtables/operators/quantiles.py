@@ -181,3 +181,30 @@ def with_percent_rank(df: DataFrame, keys: Sequence[str], value: Column, out: st
     d = d.join(hist, [*keys, "_pb"])
     rank = F.rank().over(W.partitionBy(*keys, "_pb").orderBy("_pv")) - 1 + F.col("_pl")
     return d.withColumn(out, rank / F.greatest(F.col("_pn") - 1, F.lit(1))).drop("_pv", "_pb", "_pl", "_pn")
+
+
+def weighted_quantiles(df: DataFrame, keys: Sequence[str], value: Column, weight: Column, qs: dict[str, float], minimum: int = 16) -> DataFrame:
+    """Smallest value whose cumulative weight reaches q of the total; null under ``minimum`` values.
+
+    Same two steps as the spread quantiles: bucket weights first, then only the bucket
+    that holds the target is ordered. Adds ``weight_sum``, ``samples`` and ``wmean``.
+    """
+    keys = list(keys)
+    d = df.select(*keys, value.cast("double").alias("_v"), weight.cast("double").alias("_w")).where("_w > 1e-6 AND _v IS NOT NULL").withColumn("_b", _bucket(F.col("_v")))
+    hist = d.groupBy(*keys, "_b").agg(F.sum("_w").alias("_hw"), F.count("*").alias("_hn"), F.sum(F.col("_v") * F.col("_w")).alias("_hv"))
+    w, upto = W.partitionBy(*keys), W.partitionBy(*keys).orderBy("_b")
+    hist = hist.select(
+        *keys, "_b", F.sum("_hw").over(upto).alias("_cum"), (F.sum("_hw").over(upto) - F.col("_hw")).alias("_before"),
+        F.sum("_hw").over(w).alias("_tw"), F.sum("_hn").over(w).alias("_tn"), F.sum("_hv").over(w).alias("_tv"))
+    arr = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("q")) for i, q in enumerate(qs.values())])
+    t = hist.select("*", F.explode(arr).alias("_q")).withColumn("_t", F.col("_q.q") * F.col("_tw"))
+    # the last bucket also takes a target that rounding puts past the total
+    t = t.where((F.col("_before") < F.col("_t")) & ((F.col("_cum") >= F.col("_t")) | (F.col("_cum") >= F.col("_tw"))))
+    hit = d.join(t, [*keys, "_b"]).select(*keys, "_v", "_w", "_tw", "_tn", "_tv", F.col("_q.i").alias("_i"), "_before", "_t")
+    run = W.partitionBy(*keys, "_i").orderBy("_v").rangeBetween(W.unboundedPreceding, 0)
+    hit = hit.withColumn("_in", F.sum("_w").over(run) + F.col("_before"))
+    out = hit.groupBy(*keys).agg(
+        F.max("_tn").alias("samples"), F.max("_tw").alias("weight_sum"), (F.max("_tv") / F.max("_tw")).alias("wmean"),
+        *[F.coalesce(F.min(F.when((F.col("_i") == i) & (F.col("_in") >= F.col("_t") * (1 - 1e-12)), F.col("_v"))), F.max(F.when(F.col("_i") == i, F.col("_v")))).alias(n) for i, n in enumerate(qs)])
+    few = F.col("samples") < minimum
+    return out.select(*keys, "samples", "weight_sum", *[F.when(~few, F.col(n)).alias(n) for n in ["wmean", *qs]])

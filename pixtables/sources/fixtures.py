@@ -54,6 +54,8 @@ def cand(spark, sf_dir) -> DataFrame:
 
 
 def frame_stack(spark, sf_dir) -> DataFrame:
+    """Aligned frames of at most 256 pixels each (see ``px``)."""
+    declare_image_size(spark, 256)
     li = table(spark, sf_dir, "lineitem")
     return li.groupBy(
         F.col("l_suppkey").alias("frame_id"),
