@@ -243,7 +243,12 @@ def metric_join(metrics: DataFrame, stages: DataFrame, back: int = 60, ahead: in
 
     On streams both sides carry a watermark, so the state of the interval join is bounded.
     """
-    m = metrics.select("run_id", C("ts").alias("metric_ts"), C("event_id").alias("metric_id"), "value")
-    s = stages.select(C("run_id").alias("_run"), C("ts").alias("stage_ts"), C("event_id").alias("stage_id"), "kind")
+    width = back + ahead
+    slot = lambda t: F.floor(F.unix_seconds(t.cast("timestamp")) / width)
+    first, last = slot(C("ts") - F.expr(f"INTERVAL {back} SECONDS")), slot(C("ts") + F.expr(f"INTERVAL {ahead} SECONDS"))
+    # the interval touches two time slots at most; the slot is an equi key, so a busy
+    # run is spread over its slots instead of pairing all of its rows
+    m = metrics.select("run_id", C("ts").alias("metric_ts"), C("event_id").alias("metric_id"), "value", F.explode(F.array_distinct(F.array(first, last))).alias("_slot"))
+    s = stages.select(C("run_id").alias("_run"), C("ts").alias("stage_ts"), C("event_id").alias("stage_id"), "kind", slot(C("ts")).alias("_at"))
     near = (C("stage_ts") >= C("metric_ts") - F.expr(f"INTERVAL {back} SECONDS")) & (C("stage_ts") <= C("metric_ts") + F.expr(f"INTERVAL {ahead} SECONDS"))
-    return m.join(s, (C("run_id") == C("_run")) & near).drop("_run")
+    return m.join(s, (C("run_id") == C("_run")) & (C("_slot") == C("_at")) & near).drop("_run", "_slot", "_at")
