@@ -123,17 +123,19 @@ def _spread_quantiles(df: DataFrame, keys: list[str], specs: Specs) -> DataFrame
     )
     end = F.col("_before") + F.col("_in")
     start = end - F.col("_c")
-    out = []
+    values, counts = [], []
     for i, (_, qs) in enumerate(specs):
         for j, name in enumerate(qs):
             mine = (F.col("_m") == i) & (F.col("_q") == j)
             lo = F.max(F.when(mine & (start <= F.col("_lo")) & (F.col("_lo") < end), F.col("_v")))
             hi = F.max(F.when(mine & (start <= F.col("_hi")) & (F.col("_hi") < end), F.col("_v")))
             frac = F.max(F.when(mine, F.col("_f")))
-            out.append((lo + (hi - lo) * frac).alias(name))
-        first = next(iter(qs))
-        out.append(F.coalesce(F.max(F.when(F.col("_m") == i, F.col("_total"))), F.lit(0)).alias(f"n_{first}"))
-    return hit.groupBy(*keys).agg(*out)
+            values.append((lo + (hi - lo) * frac).alias(name))
+        counts.append(F.max(F.when(F.col("_m") == i, F.col("_total"))).alias(f"n_{next(iter(qs))}"))
+    found = hit.groupBy(*keys).agg(*values, *counts)
+    # groups without any value keep their row, as with the built-in aggregate
+    out = df.select(*keys).distinct().join(found, keys, "left")
+    return out.fillna(0, [f"n_{next(iter(qs))}" for _, qs in specs])
 
 
 def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:

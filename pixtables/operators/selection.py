@@ -70,17 +70,16 @@ def _spread_rounds(s: DataFrame, key: str, cap: int) -> DataFrame:
     seeds = s.where("_seed").select(key, C("_u").alias("_cu"), C("_v").alias("_cv"))  # at most one per quadrant
     near = s.join(seeds, key).groupBy(key, "star_id").agg(F.min(dist()).alias("_near"))
     s = cut(s.join(near, [key, "star_id"]).withColumn("_in", C("_seed") | C("_few")))
-    left = s.groupBy(key).agg(F.count_if("_in").alias("_k"))
-    most = cap - (left.agg(F.min("_k")).first()[0] or 0)
-    for i in range(max(0, most)):
-        best = s.where(~C("_in")).groupBy(key).agg(F.min(F.struct((-C("_near")).alias("d"), "star_id", "_u", "_v")).alias("m"))
-        best = best.select(key, C("m.star_id").alias("_bid"), C("m._u").alias("_cu"), C("m._v").alias("_cv"))
-        have = s.groupBy(key).agg(F.count_if("_in").alias("_k"))
-        s = s.join(best.join(have, key).where(C("_k") < cap).drop("_k"), key, "left")
+    while True:
+        # one argmax per image, then one distance update; the checkpoint ends the lineage of the round
+        nxt = F.min(F.when(~C("_in"), F.struct((-C("_near")).alias("d"), "star_id", "_u", "_v")))
+        best = s.groupBy(key).agg(F.count_if("_in").alias("_k"), nxt.alias("m")).where((C("_k") < cap) & C("m").isNotNull())
+        best = cut(best.select(key, C("m.star_id").alias("_bid"), C("m._u").alias("_cu"), C("m._v").alias("_cv")))
+        if best.limit(1).count() == 0:
+            return s.where("_in")
+        s = s.join(best, key, "left")
         s = s.withColumns({"_in": C("_in") | F.coalesce(C("star_id") == C("_bid"), F.lit(False)), "_near": F.least("_near", F.coalesce(dist(), C("_near")))}).drop("_bid", "_cu", "_cv")
-        if i % 8 == 7:
-            s = cut(s)
-    return s.where("_in")
+        s = cut(s)
 
 
 def farthest_point_split(points: DataFrame, ratio: float = 0.25, key: str = "image_id", cap: int = 256) -> DataFrame:
