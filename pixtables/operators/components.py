@@ -10,43 +10,54 @@ from ..session import cut
 C = F.col
 
 
+def _runs(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Numbers the stretches of mask pixels without a gap in each row (``_rx``) and column (``_ry``)."""
+    gap = F.when(C("on"), 0).otherwise(1)
+    for line, axis in (("y", "x"), ("x", "y")):
+        w = W.partitionBy(*keys, line).orderBy(axis).rowsBetween(W.unboundedPreceding, 0)
+        # gaps count up at every pixel outside the mask: equal count means same run
+        df = df.withColumn(f"_r{axis}", F.sum(gap).over(w))
+    return df
+
+
 def _sweep(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One round of label spreading: along whole runs of a row, of a column, then over 3x3.
+    """One spread of labels: along whole runs of a row, of a column, then over 3x3.
 
-    Every window is one image row or column. A run is a stretch of mask pixels without
-    a gap, so a label crosses it in one step instead of one pixel at a time.
+    Every window is one image row or column; a label crosses a run in one step
+    instead of one pixel at a time.
     """
     on = C("on")
-    for line, axis in (("y", "x"), ("x", "y")):
-        w = W.partitionBy(*keys, line).orderBy(axis)
-        # gaps count up at every pixel outside the mask: equal count means same run
-        df = df.withColumn("_run", F.sum(F.when(on, 0).otherwise(1)).over(w.rowsBetween(W.unboundedPreceding, 0)))
-        run = W.partitionBy(*keys, line, "_run")
-        df = df.withColumn("label", F.when(on, F.min("label").over(run)))
+    df = df.withColumn("label", F.when(on, F.min("label").over(W.partitionBy(*keys, "y", "_rx"))))
+    df = df.withColumn("label", F.when(on, F.min("label").over(W.partitionBy(*keys, "x", "_ry"))))
     wx = W.partitionBy(*keys, "y").orderBy("x").rangeBetween(-1, 1)
     wy = W.partitionBy(*keys, "x").orderBy("y").rangeBetween(-1, 1)
     df = df.withColumn("_h", F.min("label").over(wx)).withColumn("label", F.when(on, F.min("_h").over(wy)))
-    return df.drop("_run", "_h")
+    return df.drop("_h")
 
 
-def connected_components(grid: DataFrame, keys: Sequence[str], on: Column, width: int, sweeps: int = 3, rounds: int = 64) -> DataFrame:
+def connected_components(grid: DataFrame, keys: Sequence[str], on: Column, width: int, sweeps: int = 2, rounds: int = 64) -> DataFrame:
     """8-neighbour label (smallest ``y*width+x`` of the component) of every mask pixel of a full grid.
 
-    Rounds of ``sweeps`` sweeps with a reliable checkpoint between them; the stop test
-    is one count of the pixels whose label still changed. The loop ends only when no
-    label changes; reaching ``rounds`` raises, nothing is returned half-labelled.
+    Rounds of ``sweeps`` sweeps with a reliable checkpoint between them; a group (image)
+    whose labels no longer change leaves the loop, so late rounds only carry the few
+    images with winding components. Reaching ``rounds`` raises, nothing is returned
+    half-labelled.
     """
     keys = list(keys)
     df = grid.select(*keys, "y", "x", F.coalesce(on, F.lit(False)).alias("on"))
-    df = df.withColumn("label", F.when(C("on"), C("y") * width + C("x")))
+    df = _runs(df.withColumn("label", F.when(C("on"), C("y") * width + C("x"))), keys)
+    done = None
     for _ in range(rounds):
-        before = df.withColumn("_old", C("label"))
+        nxt = df.withColumn("_old", C("label"))
         for _ in range(sweeps):
-            before = _sweep(before, keys)
-        df = cut(before)
-        if df.where(C("label") != C("_old")).limit(1).count() == 0:
-            return df.where("on").select(*keys, "y", "x", "label")
-        df = df.drop("_old")
+            nxt = _sweep(nxt, keys)
+        df = cut(nxt)
+        moving = df.where(C("on") & (C("label") != C("_old"))).select(*keys).distinct()
+        settled = df.where("on").join(moving, keys, "left_anti").select(*keys, "y", "x", "label")
+        done = settled if done is None else done.unionByName(settled)
+        if moving.limit(1).count() == 0:
+            return done
+        df = df.join(moving, keys, "left_semi").drop("_old")
     raise RuntimeError("component labels did not settle")
 
 

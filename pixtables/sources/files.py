@@ -58,11 +58,10 @@ def header_cards(files: DataFrame, key: str = "frame_id", blocks: int = 128) ->
     cut at END is a comparison with the first END position of the same array.
     """
     head = F.substring("content", 1, blocks * 2880).cast("string")
-    n = F.floor(F.length(head) / 80).cast("int")
-    cards = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substr(head, i * 80 + 1, F.lit(80)))).otherwise(F.array().cast("array<string>"))
-    f = files.select(key, cards.alias("_c"))
-    end = F.array_position(F.transform("_c", lambda c: F.trim(F.substring(c, 1, 8)) == "END"), True)
-    f = f.withColumn("_c", F.when(end > 0, F.slice("_c", F.lit(1), (end - 1).cast("int"))).otherwise(C("_c")))
+    f = files.select(key, F.regexp_extract_all(head, F.lit("(?s)(.{80})"), 1).alias("_c"))
+    end = F.array_position(F.transform("_c", lambda c: c.startswith("END") & (F.rtrim(F.substring(c, 1, 8)) == "END")), True)
+    f = f.select(key, "_c", end.alias("_end"))
+    f = f.select(key, F.when(C("_end") > 0, F.slice("_c", F.lit(1), (C("_end") - 1).cast("int"))).otherwise(C("_c")).alias("_c"))
     rows = f.select(key, F.posexplode("_c").alias("pos", "card"))
     name = F.upper(F.trim(F.substring("card", 1, 8)))
     return rows.select(key, "pos", name.alias("key"), "card", (F.substring("card", 9, 2) == "= ").alias("valued"), F.substr("card", F.lit(11)).alias("raw"))
