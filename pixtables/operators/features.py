@@ -160,7 +160,6 @@ def adaptive_features(grid: DataFrame, side: int, key: str = "image_id") -> Data
         clamp(C("bg_std") / F.greatest(C("thr") - C("bg_median"), F.lit(0.01))).alias("low_snr_score"))
 
 
-FLAGS: dict[str, Column] = {}
 
 
 def flags() -> dict[str, Column]:

@@ -85,7 +85,6 @@ def noop_proof(spark, d):
     return gain.join(ident, "image_id").withColumn("proven", C("no_gain") & C("identical"))
 
 
-_FID = "strict AND false"
 
 
 @query("fidelity_gate", with_views("pair", graded(f"(SELECT *, {PROFILE} AS profile FROM fd)", [

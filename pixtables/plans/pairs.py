@@ -157,7 +157,6 @@ def _cand_sql(k: int) -> str:
     return f"SELECT image_id, y, x, subject, background, core, r, g, b, {lum3()} AS l FROM (SELECT image_id, y, x, subject, background, core, r*(1e0-0.1e0*{k})+0.02e0*{k} AS r, g*(1e0-0.05e0*{k}) AS g, b*(1e0-0.1e0*{k})+0.01e0*x*{k}/16 AS b FROM dmsk)"
 
 
-_GAP = lambda v: f"abs({v}/greatest(x.{v[2:]},1e-9)-1e0)"
 _DIM = ["saturation", "contrast", "fine_sigma", "coarse_sigma"]
 
 
