@@ -1,7 +1,9 @@
 """Session settings the library relies on, and the places where lineage is cut."""
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -43,18 +45,33 @@ def images_fit(spark: SparkSession) -> bool:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is named."""
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``.
+
+    A folder of this machine is taken only by a session that has no other machines;
+    a cluster without a shared folder is refused before any work is done.
+    """
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
-    if current:
+    if current and not named:
         return current
     if not named:
+        if not re.fullmatch(r"local(\[[^,\]]*(,\d+)?\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="run-checkpoint-")
-    sc.setCheckpointDir(named)
+    if not current:
+        sc.setCheckpointDir(named)
     return named
 
 
+def saved(df: DataFrame, what: str = "table") -> DataFrame:
+    """Write a table into the shared folder and read it back: cuts the lineage, and lost executors do not matter."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint, used between the rounds of an iterative operator."""
     checkpoint_dir(df.sparkSession)
