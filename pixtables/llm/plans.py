@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat_format, decontaminate, quality_rules, secret_scan
+from . import bpe, chat_format, decontaminate, jaccard_join, quality_rules, secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -97,3 +97,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long")
     base = secret_scan.listed(F.filter("found", lambda x: x["kind"] != "random"))
     return found.select("doc_id", n("assign").alias("n_assign"), n("access").alias("n_access"), n("hex").alias("n_hex"), F.sha2(base, 256).alias("base_sha256"), secret_scan.listed(F.col("found")).alias("spans"))
+
+
+@query("op9_jaccard_join")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
