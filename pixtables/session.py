@@ -1,9 +1,11 @@
 """Session settings the library relies on, and the places where lineage is cut."""
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
+import zipfile
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -25,9 +27,27 @@ def configure(spark: SparkSession) -> SparkSession:
     for key, value in _ADAPTIVE.items():
         spark.conf.set(key, value)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    _ship(spark)
     return spark
 
 
+def _ship(spark: SparkSession) -> None:
+    """Send this package to the executors once, so that their Python can import its functions."""
+    sc = spark.sparkContext
+    if getattr(sc, "_pixtables_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="pixtables-"), "pixtables.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for top, _, names in os.walk(here):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    path = os.path.join(top, n)
+                    z.write(path, os.path.relpath(path, os.path.dirname(here)))
+    sc.addPyFile(archive)  # served by the driver; executors fetch a copy
+    sc._pixtables_shipped = True
+
+
 # The largest image of the tables in pixels. Images up to the limit are measured
 # whole in one group; for larger or unknown ones statistics take the spread path.
 IMAGE_PIXELS = "spark.pixtables.image.pixels"
