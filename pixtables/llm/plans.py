@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat_format, decontaminate, jaccard_join, quality_classifier, quality_rules, secret_scan
+from . import bpe, chat_format, decontaminate, jaccard_join, lm_score, quality_classifier, quality_rules, secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -108,3 +108,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_classifier.classify(docs, quality_classifier.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op3_lm_score")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.lm_score(table(spark, sf_dir, "documents"))

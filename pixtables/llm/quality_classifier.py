@@ -44,14 +44,10 @@ def prefix_numbers(raw: np.ndarray) -> np.ndarray:
     start, end = shingles.word_bounds(raw)
     if not len(start):
         return np.empty(0, np.uint64)
-    up, back = shingles._power(len(raw) + 1)
-    total = np.empty(len(raw) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(shingles._BYTE[shingles._LOWER[raw]] * up[: len(raw)], out=total[1:])
     out = []
     for n in PREFIXES:
         s = start[end - start >= n]
-        out.append(shingles.mix((total[s + n] - total[s]) * back[s] + np.uint64(n)))
+        out.append(shingles.stretch_numbers(raw, s, s + n))
     return np.unique(np.concatenate(out))
 
 

@@ -1,6 +1,8 @@
 """Word shingles of whole texts as 64-bit numbers, computed over Arrow buffers with numpy."""
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 SHINGLE = 5
@@ -18,14 +20,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _P = 0x9E3779B97F4A7C15
 _P_BACK = pow(_P, -1, 1 << 64)
-_powers: list[np.ndarray] = []
+_SEGMENT = 1 << 18  # bytes hashed at a time; the tables below stay of this size
+
 
+def _table(p: int, n: int) -> np.ndarray:
+    return np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, p, np.uint64))])
 
-def _power(n: int) -> list[np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 16, 2 * len(_powers[0]) if _powers else 0)
-        _powers[:] = [np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size - 1, p, np.uint64))]) for p in (_P, _P_BACK)]
-    return _powers
+
+_UP, _BACK = _table(_P, 2 * _SEGMENT), _table(_P_BACK, 2 * _SEGMENT)
 
 
 def word_bounds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -37,16 +39,32 @@ def word_bounds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return turn[0::2], turn[1::2]
 
 
+def stretch_numbers(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit number for each stretch of bytes (starts ascending), A-Z lower-cased; equal ones have equal numbers."""
+    out, i, n = np.empty(len(start), np.uint64), 0, len(start)
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(start, start[i] + _SEGMENT)))
+        long = np.flatnonzero(end[i:j] - start[i:j] > _SEGMENT)
+        if len(long):  # a single huge word
+            j = i + int(long[0]) if long[0] else i + 1
+        if len(long) and long[0] == 0:
+            word = _LOWER[raw[start[i] : end[i]]].tobytes()
+            out[i] = np.frombuffer(hashlib.blake2b(word, digest_size=8).digest(), np.uint64)[0]
+        else:
+            at = start[i]
+            piece = raw[at : end[i:j].max()]
+            total = np.empty(len(piece) + 1, np.uint64)
+            total[0] = 0
+            np.cumsum(_BYTE[_LOWER[piece]] * _UP[: len(piece)], out=total[1:])
+            s, e = start[i:j] - at, end[i:j] - at
+            out[i:j] = mix((total[e] - total[s]) * _BACK[s] + (e - s).astype(np.uint64))
+        i = j
+    return out
+
+
 def word_numbers(raw: np.ndarray) -> np.ndarray:
-    """A 64-bit number for each word, A-Z lower-cased; equal words have equal numbers."""
-    start, end = word_bounds(raw)
-    if not len(start):
-        return np.empty(0, np.uint64)
-    up, back = _power(len(raw) + 1)
-    total = np.empty(len(raw) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(_BYTE[_LOWER[raw]] * up[: len(raw)], out=total[1:])
-    return mix((total[end] - total[start]) * back[start] + (end - start).astype(np.uint64))
+    """A number for each word, in order."""
+    return stretch_numbers(raw, *word_bounds(raw))
 
 
 _AT = mix(np.arange(101, 165, dtype=np.uint64)) | np.uint64(1)
@@ -75,3 +93,22 @@ def rows(x):
     """(valid, bytes as a numpy view) for each row of an Arrow binary array."""
     for v in x:
         yield np.frombuffer(v.as_buffer(), np.uint8) if v.is_valid and len(v.as_buffer()) else np.empty(0, np.uint8)
+
+
+def grouped(x, most: int = 1 << 20):
+    """Stretches of rows of an Arrow binary array as one text each (rows parted by a line break):
+    (first row, bytes, word starts, word ends, number of words of each row)."""
+    at, part, size = 0, [], 0
+    held = list(rows(x))
+    for k in range(len(held) + 1):
+        if part and (k == len(held) or size + len(held[k]) > most):
+            gap = np.full(1, 10, np.uint8)
+            raw = np.concatenate([p for q in part for p in (q, gap)])
+            start, end = word_bounds(raw)
+            edge = np.cumsum([len(q) + 1 for q in part])
+            upto = np.searchsorted(start, edge)
+            yield at, raw, start, end, np.diff(upto, prepend=0)
+            at, part, size = k, [], 0
+        if k < len(held):
+            part.append(held[k])
+            size += len(held[k])
