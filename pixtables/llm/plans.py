@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat_format, decontaminate, jaccard_join, lm_score, quality_classifier, quality_rules, secret_scan
+from . import bpe, chat_format, decontaminate, html_extract, jaccard_join, lm_score, quality_classifier, quality_rules, secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -113,3 +113,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_lm_score")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.lm_score(table(spark, sf_dir, "documents"))
+
+
+@query("op5_html_extract")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.html_extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
