@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat_format, decontaminate, html_extract, jaccard_join, lm_score, quality_classifier, quality_rules, secret_scan
+from . import bpe, chat_format, decontaminate, html_extract, jaccard_join, lm_score, quality_classifier, quality_rules, secret_scan, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -118,3 +118,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_html_extract")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.html_extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("op8_substring_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.shared_passages(table(spark, sf_dir, "documents"))
