@@ -67,18 +67,35 @@ def device_evidence(values: DataFrame, rel_limit: float = 0.05, accept: float =
     return g.withColumn("applied", ~C("conflict") & (C("confidence") >= accept))
 
 
-# Known instruments (fixed values): identity words and profile.
-DEVICES = [("seestar s50", "smart_50mm", 250.0, 2.9), ("seestar s30", "smart_30mm", 150.0, 2.9), ("dwarf", "dwarf", 150.0, 2.0), ("vespera", "vespera", 250.0, 2.9)]
+# Known instruments (fixed values): id, focal length in mm, pixel size in um, names, words that rule it out.
+DEVICES = [
+    ("seestar_s30_pro_imx585", 160.0, 2.9, ("zwo seestar s30 pro", "seestar s30 pro", "s30 pro"), ()),
+    ("seestar_s30_imx662", 150.0, 2.9, ("zwo seestar s30", "seestar s30", "s30"), ("pro",)),
+    ("seestar_s50_imx462", 250.0, 2.9, ("zwo seestar s50", "seestar s50", "s50"), ()),
+    ("dwarflab_dwarf_mini_imx662", 150.0, 2.9, ("dwarflab dwarf mini", "dwarf mini", "dwarfmini"), ()),
+    ("dwarflab_dwarf_3_imx678", 150.0, 2.0, ("dwarflab dwarf 3", "dwarf 3", "dwarf iii", "dwarfiii", "dwarf3"), ()),
+    ("dwarflab_dwarf_2_imx415", 100.0, 1.45, ("dwarflab dwarf 2", "dwarf 2", "dwarf ii", "dwarfii", "dwarf2"), ()),
+]
 
 
 def device_profile_match(frames: DataFrame) -> DataFrame:
     """Known instrument of each frame from its identity text; wide-camera frames match none.
 
-    The profile list is a literal, so the match is a projection and the longest name wins.
+    Profiles are tried in their order and the first that fits is taken. Names of up to three
+    characters have to begin the text as a word of their own, longer ones may stand anywhere.
+    The list is a literal, so the match is a projection.
     """
-    t = F.regexp_replace(F.lower(F.coalesce("identity", F.lit(""))), r"[^a-z0-9]+", " ")
+    t = F.trim(F.regexp_replace(F.lower(F.coalesce("identity", F.lit(""))), r"[^a-z0-9]+", " "))
     wide = t.rlike("wide ?angle") | F.coalesce(C("focal") < 30.0, F.lit(False))
-    hits = F.array_compact(F.array(*[F.when(t.contains(n), F.struct(F.lit(len(n)).alias("n"), F.lit(p).alias("profile"), F.lit(f).alias("focal_mm"), F.lit(s).alias("pixel_um"))) for n, p, f, s in DEVICES]))
-    best = F.element_at(F.sort_array(hits, asc=False), 1)
-    f = frames.select("frame_id", F.when(~wide & (F.size(hits) > 0), best).alias("b"))
+    named = lambda n: (t == n) | t.startswith(n + " ") if len(n) <= 3 else t.contains(n)
+    hits = []
+    for profile, focal, pixel, names, without in DEVICES:
+        fits = F.lit(False)
+        for n in names:
+            fits = fits | named(n)
+        for n in without:
+            fits = fits & ~F.array_contains(F.split(t, " "), n)
+        hits.append(F.when(fits, F.struct(F.lit(profile).alias("profile"), F.lit(focal).alias("focal_mm"), F.lit(pixel).alias("pixel_um"))))
+    best = F.coalesce(*hits)
+    f = frames.select("frame_id", F.when(~wide, best).alias("b"))
     return f.where(C("b").isNotNull()).select("frame_id", C("b.profile").alias("profile"), C("b.focal_mm").alias("focal_mm"), C("b.pixel_um").alias("pixel_um"))

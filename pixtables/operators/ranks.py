@@ -12,30 +12,29 @@ C = F.col
 PARETO = ("soft_warnings", "span_sigma", "flux_deviation", "morphology_loss", "centroid_shift", "structure_sigma", "pattern_penalty")
 
 
-def pareto_dense_rank(cands: DataFrame, key: Sequence[str], criteria: Sequence[str] = PARETO, chain: str = "chain_index", limit: int = 64) -> DataFrame:
+def pareto_dense_rank(cands: DataFrame, key: Sequence[str], criteria: Sequence[str] = PARETO, chain: str = "chain_index") -> DataFrame:
     """Hard-rejected dropped, best tier kept, dense ranks summed, front first among equals.
 
-    The candidates of one subject are the entries of a fixed processing chain
-    (``chain_index`` < ``limit``), so the list that is compared per subject is bounded
-    by the chain; entries outside it are refused here rather than gathered.
+    All candidates of a subject count, repeated chain entries too. Who is dominated is found by an
+    anti join of the distinct rank vectors within a subject: nothing is gathered, no pair is returned.
     """
     key = list(key)
-    ok = cands.where(~C("hard_rejected") & C(chain).between(0, limit - 1))
-    # one row per chain position, whatever the input repeats
-    ok = ok.groupBy(*key, chain).agg(F.min(F.struct("tier", *criteria, "score", "label")).alias("s")).select(*key, chain, "s.*")
+    ok = cands.where(~C("hard_rejected"))
     tier = W.partitionBy(*key)
     ok = ok.withColumn("_best", F.min("tier").over(tier)).where(C("tier") == C("_best"))
     for c in criteria:
         ok = ok.withColumn(f"_r_{c}", F.dense_rank().over(W.partitionBy(*key).orderBy(c)) - 1)
     ok = ok.withColumn("rank_sum", sum((C(f"_r_{c}") for c in criteria), F.lit(0)))
-    mine = F.struct(*[C(f"_r_{c}").alias(c) for c in criteria])
-    ok = ok.withColumn("_all", F.collect_list(mine).over(tier))
-    dominated = F.exists(
-        "_all",
-        lambda o: _all(*[o[c] <= C(f"_r_{c}") for c in criteria]) & _any(*[o[c] < C(f"_r_{c}") for c in criteria]),
-    )
-    ok = ok.withColumn("pareto_front", ~dominated)
-    order = W.partitionBy(*key).orderBy("rank_sum", C("pareto_front").cast("int").desc(), "span_sigma", "score", chain)
+    ranks = [f"_r_{c}" for c in criteria]
+    mine = ok.select(*key, *ranks).distinct()
+    other = mine.select(*[C(k).alias(f"_k_{k}") for k in key], *[C(r).alias(f"_o{r}") for r in ranks])
+    same = _all(*[C(k).eqNullSafe(C(f"_k_{k}")) for k in key])
+    better = _all(*[C(f"_o{r}") <= C(r) for r in ranks]) & _any(*[C(f"_o{r}") < C(r) for r in ranks])
+    front = mine.join(other, same & better, "left_anti").withColumn("pareto_front", F.lit(True))
+    # rank vectors have no nulls; a key may
+    front = front.select(*[C(k).alias(f"_k_{k}") for k in key], *[C(r).alias(f"_o{r}") for r in ranks], "pareto_front")
+    ok = ok.join(front, same & _all(*[C(f"_o{r}") == C(r) for r in ranks]), "left").withColumn("pareto_front", F.coalesce("pareto_front", F.lit(False)))
+    order = W.partitionBy(*key).orderBy("rank_sum", C("pareto_front").cast("int").desc(), "span_sigma", "score", chain, "label")
     return ok.withColumn("position", F.row_number().over(order)).select(*key, chain, "label", "tier", "rank_sum", "pareto_front", "position")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from ..functions import pixel as px
 from ..functions.fixed import clamp
-from ..session import cut, images_fit
+from ..session import cut
 from .background import plane_fit
 from .grid import box_blur, morph
 from .quantiles import quantiles, robust_sigma, with_quantiles, with_stats
@@ -19,103 +19,63 @@ C = F.col
 
 
 # ---- spread of points ---------------------------------------------------------
-def _spread(xy: np.ndarray, start: list[int], cap: int) -> list[int]:
-    """Greedy farthest-point order: next is the point farthest from all chosen, ties by row."""
-    chosen = list(start)
-    near = np.full(len(xy), np.inf)
-    for i in chosen:
-        near = np.minimum(near, ((xy - xy[i]) ** 2).sum(axis=1))
-    near[chosen] = -1.0
-    while len(chosen) < min(cap, len(xy)):
-        i = int(near.argmax())
-        if near[i] < 0:
-            break
-        chosen.append(i)
-        near = np.minimum(near, ((xy - xy[i]) ** 2).sum(axis=1))
-        near[chosen] = -1.0
-    return chosen
-
-
+# The greedy rules below take one point of every image per round: an argmax per image as an
+# aggregate, then one distance update. Rounds are as many as the largest image takes points.
 def star_record_selection(stars: DataFrame, cap: int, key: str = "image_id") -> DataFrame:
-    """Best shape per quadrant first, then farthest-point spread up to ``cap`` stars per image.
+    """Best shape per quadrant first, then the star farthest from all taken, up to ``cap`` stars per image.
 
-    stars(key, star_id, x, y, quadrant, saturation_fraction, aspect_ratio, compactness).
-    Images of a declared small size go through a grouped kernel; otherwise each round is
-    one aggregate over all images, so no image is gathered in one task.
+    stars(key, star_id, x, y, quadrant, saturation_fraction, aspect_ratio, compactness). Distances
+    are in units of the image's extent on each axis; equal ones go to the smaller star_id. Images
+    of at most ``cap`` stars keep all.
     """
     w = {"_x0": F.min("x"), "_x1": F.max("x"), "_y0": F.min("y"), "_y1": F.max("y"), "_n": F.count("*")}
     s = with_stats(stars, [key], w)
     span = lambda a: F.greatest(C(f"_{a}1") - C(f"_{a}0"), F.lit(1.0))
-    s = s.withColumns({"_u": (C("x") - C("_x0")) / span("x"), "_v": (C("y") - C("_y0")) / span("y"), "_few": C("_n") <= cap})
+    s = s.withColumns({"_u": (C("x") - C("_x0")) / span("x"), "_v": (C("y") - C("_y0")) / span("y")})
     shape = F.struct("saturation_fraction", F.abs(C("aspect_ratio") - 1.0).alias("a"), (-C("compactness")).alias("c"), "y", "x", "star_id")
     seeds = s.groupBy(key, "quadrant").agg(F.min(shape).alias("m")).select(key, C("m.star_id").alias("star_id"), F.lit(True).alias("_seed"))
-    s = s.join(seeds, [key, "star_id"], "left").withColumn("_seed", F.coalesce("_seed", F.lit(False)))
-    cols = [key, "star_id", "x", "y", "quadrant"]
-    if images_fit(stars.sparkSession):
-        def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("star_id").reset_index(drop=True)
-            if bool(pdf["_few"].iloc[0]):
-                return pdf[cols]
-            seeds_ = pdf[pdf["_seed"]].sort_values("quadrant").index.tolist()
-            return pdf.loc[sorted(_spread(pdf[["_u", "_v"]].to_numpy(), seeds_, cap)), cols]
-
-        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in s.select(*cols).schema)
-        return s.select(*cols, "_u", "_v", "_few", "_seed").groupBy(key).applyInPandas(kernel, schema)
-    return _spread_rounds(s, key, cap).select(*cols)
-
-
-def _spread_rounds(s: DataFrame, key: str, cap: int) -> DataFrame:
-    """Farthest-point order as rounds of one argmax per image and one distance update."""
-    dist = lambda: (C("_u") - C("_cu")) * (C("_u") - C("_cu")) + (C("_v") - C("_cv")) * (C("_v") - C("_cv"))
-    seeds = s.where("_seed").select(key, C("_u").alias("_cu"), C("_v").alias("_cv"))  # at most one per quadrant
-    near = s.join(seeds, key).groupBy(key, "star_id").agg(F.min(dist()).alias("_near"))
-    s = cut(s.join(near, [key, "star_id"]).withColumn("_in", C("_seed") | C("_few")))
-    while True:
-        # one argmax per image, then one distance update; the checkpoint ends the lineage of the round
-        nxt = F.min(F.when(~C("_in"), F.struct((-C("_near")).alias("d"), "star_id", "_u", "_v")))
-        best = s.groupBy(key).agg(F.count_if("_in").alias("_k"), nxt.alias("m")).where((C("_k") < cap) & C("m").isNotNull())
-        best = cut(best.select(key, C("m.star_id").alias("_bid"), C("m._u").alias("_cu"), C("m._v").alias("_cv")))
-        if best.limit(1).count() == 0:
-            return s.where("_in")
+    s = s.join(seeds, [key, "star_id"], "left").withColumn("_in", F.coalesce("_seed", F.lit(False)) | (C("_n") <= cap))
+    taken = s.where("_seed").groupBy(key).agg(F.collect_list(F.struct("_u", "_v")).alias("_t"))  # at most one per quadrant
+    square = lambda u, v: (C("_u") - u) * (C("_u") - u) + (C("_v") - v) * (C("_v") - v)
+    s = cut(s.join(taken, key).withColumn("_near", F.array_min(F.transform("_t", lambda t: square(t["_u"], t["_v"])))).drop("_t", "_seed"))
+    rounds = s.groupBy(key).agg((F.least(F.lit(cap), F.count("*")) - F.count_if("_in")).alias("r")).agg(F.max("r")).first()[0] or 0
+    for _ in range(rounds):
+        free = F.when(~C("_in"), F.struct((-C("_near")).alias("d"), "star_id", "_u", "_v"))
+        best = s.groupBy(key).agg(F.count_if("_in").alias("_k"), F.min(free).alias("_b")).where(C("_k") < cap).select(key, "_b")
         s = s.join(best, key, "left")
-        s = s.withColumns({"_in": C("_in") | F.coalesce(C("star_id") == C("_bid"), F.lit(False)), "_near": F.least("_near", F.coalesce(dist(), C("_near")))}).drop("_bid", "_cu", "_cv")
-        s = cut(s)
+        near = F.least("_near", F.coalesce(square(C("_b._u"), C("_b._v")), C("_near")))
+        s = cut(s.withColumns({"_in": C("_in") | F.coalesce(C("star_id") == C("_b.star_id"), F.lit(False)), "_near": near}).drop("_b"))
+    return s.where("_in").select(key, "star_id", "x", "y", "quadrant")
 
 
-def farthest_point_split(points: DataFrame, ratio: float = 0.25, key: str = "image_id", cap: int = 256) -> DataFrame:
-    """Fit / held-out split: new quadrants first, then the greatest nearest distance.
+def farthest_point_split(points: DataFrame, ratio: float = 0.25, key: str = "image_id") -> DataFrame:
+    """Fit / held-out split of each image's points.
 
-    Takes the output of a selection, at most ``cap`` points per image; a larger image is
-    refused. Needs 16 points, 12 left to fit, three quadrants on both sides.
+    A quarter (``ratio``, at least four, twelve left to fit) is held out, one after the other: a
+    point of a quadrant without a held-out point first, then the farthest from all held-out ones,
+    then the upper left one; each quadrant keeps one point to fit. Images of under 16 points, or
+    without three quadrants on both sides, are ``insufficient``.
     """
-    schema = f"{key} long, point_id long, x double, y double, quadrant int, split string"
-
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("point_id").reset_index(drop=True)
-        n = len(pdf)
-        if n > cap:
-            raise ValueError("split takes at most %d points per image" % cap)
-        if n < 16:
-            return pdf.assign(split="insufficient")
-        want = min(max(4, int(np.ceil(n * ratio))), n - 12)
-        xy, quad = pdf[["x", "y"]].to_numpy(), pdf["quadrant"].to_numpy()
-        size = {q: int((quad == q).sum()) for q in set(quad)}
-        near, used, chosen = np.full(n, np.inf), {}, []
-        while len(chosen) < want:
-            best = max(
-                (i for i in range(n) if i not in chosen and size[quad[i]] >= 2 and used.get(quad[i], 0) < size[quad[i]] - 1),
-                key=lambda i: (quad[i] not in used, near[i], -xy[i][1], -xy[i][0]), default=None)
-            if best is None:
-                break
-            chosen.append(best)
-            used[quad[best]] = used.get(quad[best], 0) + 1
-            near = np.minimum(near, np.sqrt(((xy - xy[best]) ** 2).sum(axis=1)))
-        held = np.isin(np.arange(n), chosen)
-        ok = (~held).sum() >= 12 and held.sum() >= 4 and len(set(quad[~held])) >= 3 and len(set(quad[held])) >= 3
-        return pdf.assign(split=np.where(held, "validation", "fit") if ok else "insufficient")
-
-    src = points.select(key, C("point_id").cast("long").alias("point_id"), C("x").cast("double").alias("x"), C("y").cast("double").alias("y"), C("quadrant").cast("int").alias("quadrant"))
-    return src.groupBy(key).applyInPandas(kernel, schema)
+    p = points.select(key, C("point_id").cast("long").alias("point_id"), C("x").cast("double").alias("x"), C("y").cast("double").alias("y"), C("quadrant").cast("int").alias("quadrant"))
+    n = p.groupBy(key).agg(F.count("*").alias("_n"))
+    want = F.when(C("_n") < 16, 0).otherwise(F.least(F.greatest(F.lit(4), F.ceil(C("_n") * ratio)), C("_n") - 12)).cast("int")
+    size = p.groupBy(key, "quadrant").agg(F.count("*").alias("_size"))
+    p = cut(p.join(n.select(key, "_n", want.alias("_want")), key).join(size, [key, "quadrant"]).withColumns({"_held": F.lit(False), "_near": F.lit(float("inf"))}))
+    rounds = p.agg(F.max("_want")).first()[0] or 0
+    for _ in range(rounds):
+        used = p.groupBy(key, "quadrant").agg(F.count_if("_held").alias("_used"))
+        open_ = p.join(used, [key, "quadrant"]).where(~C("_held") & (C("_used") < C("_size") - 1))
+        first = F.min(F.struct((C("_used") > 0).alias("q"), (-C("_near")).alias("d"), "y", "x", "point_id")).alias("_b")
+        short = p.groupBy(key).agg(F.count_if("_held").alias("_k"), F.max("_want").alias("_w")).where(C("_k") < C("_w")).select(key)
+        best = open_.join(short, key, "left_semi").groupBy(key).agg(first)
+        p = p.join(best, key, "left")
+        far = F.sqrt((C("x") - C("_b.x")) * (C("x") - C("_b.x")) + (C("y") - C("_b.y")) * (C("y") - C("_b.y")))
+        p = cut(p.withColumns({"_held": C("_held") | F.coalesce(C("point_id") == C("_b.point_id"), F.lit(False)), "_near": F.least("_near", F.coalesce(far, C("_near")))}).drop("_b"))
+    sides = p.groupBy(key).agg(
+        F.count_if("_held").alias("_h"), F.count_if(~C("_held")).alias("_f"),
+        F.count_distinct(F.when(C("_held"), C("quadrant"))).alias("_hq"), F.count_distinct(F.when(~C("_held"), C("quadrant"))).alias("_fq"))
+    ok = (C("_n") >= 16) & (C("_h") >= 4) & (C("_f") >= 12) & (C("_hq") >= 3) & (C("_fq") >= 3)
+    return p.join(sides, key).select(key, "point_id", "x", "y", "quadrant", F.when(~ok, "insufficient").when(C("_held"), "validation").otherwise("fit").alias("split"))
 
 
 def safe_samples(patches: DataFrame, side: int, per_cell: int = 1, bright_q: float = 0.60, texture_q: float = 0.70, key: str = "image_id") -> DataFrame:

@@ -57,7 +57,7 @@ def history_text(spark, d):
     return op.history_text(op.header_cards(header_files(spark, d)))
 
 
-@query("header_summary", with_views("frames", "SELECT frame_id, 'ready' AS status, CAST(1000+frame_id%7 AS INT) AS width, 800 AS height, 1 AS channels, CASE WHEN frame_id%2=0 THEN 'uint16' ELSE 'float32' END AS dtype, CAST((frame_id%9+1.5)*10 AS DOUBLE) AS exposure, CASE WHEN frame_id%4>0 THEN CAST(frame_id%4 AS INT) END AS stack_count, concat('Bob''s ',target) AS object, CASE WHEN filter<>'' THEN filter END AS filter, CASE WHEN frame_id%10=0 THEN 'late' END AS device FROM frames"))
+@query("header_summary", with_views("frames", "SELECT frame_id, 'ready' AS status, CAST(1000+frame_id%7 AS INT) AS width, 800 AS height, 1 AS channels, CASE WHEN frame_id%2=0 THEN 'uint16' ELSE 'float32' END AS dtype, CAST((frame_id%9+1.5)*10 AS DOUBLE) AS exposure, CASE WHEN frame_id%4>0 THEN CAST(frame_id%4 AS INT) END AS stack_count, concat('Bob''s ',target) AS object, CASE WHEN filter<>'' THEN filter END AS filter, CASE WHEN frame_id%10=0 THEN 'late' END AS device, CASE WHEN frame_id%10=0 THEN 7e0 END AS gain FROM frames"))
 def header_summary(spark, d):
     return op.header_summary(op.typed_cards(op.header_cards(header_files(spark, d))))
 

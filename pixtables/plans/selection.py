@@ -63,13 +63,13 @@ def device_evidence(spark, d):
     return rounded(ev.device_evidence(v), "value")
 
 
-_DN = ["Seestar S50", "SEESTAR-S30 tele", "Dwarf III", "Seestar S50 Wide-Angle", "Newton 200", "Vespera Pro"]
+_DN = ["Seestar S50", "SEESTAR-S30 tele", "Dwarf III", "Seestar S50 Wide-Angle", "Newton 200", "Vespera Pro", "ZWO Seestar S30 Pro", "dwarf mini", "DWARF 2", "S50", "my s50", "S30 x Pro"]
 
 
-@query("device_profile_match", with_views("frames", f"SELECT frame_id, list_extract(['smart_50mm','smart_30mm','dwarf',NULL,NULL,'vespera'], CAST(frame_id%6+1 AS INT)) AS profile, list_extract([250e0,150e0,150e0,NULL,NULL,250e0], CAST(frame_id%6+1 AS INT)) AS focal_mm, list_extract([2.9e0,2.9e0,2e0,NULL,NULL,2.9e0], CAST(frame_id%6+1 AS INT)) AS pixel_um FROM frames WHERE frame_id%6 NOT IN (3,4) AND frame_id%8<>0"))
+@query("device_profile_match", with_views("frames", "SELECT frame_id, list_extract(['seestar_s50_imx462','seestar_s30_imx662','dwarflab_dwarf_3_imx678',NULL,NULL,NULL,'seestar_s30_pro_imx585','dwarflab_dwarf_mini_imx662','dwarflab_dwarf_2_imx415','seestar_s50_imx462'], k) AS profile, list_extract([250e0,150e0,150e0,NULL,NULL,NULL,160e0,150e0,100e0,250e0], k) AS focal_mm, list_extract([2.9e0,2.9e0,2e0,NULL,NULL,NULL,2.9e0,2.9e0,1.45e0,2.9e0], k) AS pixel_um FROM (SELECT frame_id, CAST(frame_id%12+1 AS INT) AS k FROM frames WHERE frame_id%12 NOT IN (3,4,5,10,11) AND frame_id%7<>0)"))
 def device_profile_match(spark, d):
     i = C("frame_id")
-    f = fx.frames(spark, d).select("frame_id", F.element_at(F.array(*[F.lit(x) for x in _DN]), (i % 6 + 1).cast("int")).alias("identity"), F.when(i % 8 == 0, 12.0).otherwise(F.lit(250.0)).alias("focal"))
+    f = fx.frames(spark, d).select("frame_id", F.element_at(F.array(*[F.lit(x) for x in _DN]), (i % 12 + 1).cast("int")).alias("identity"), F.when(i % 7 == 0, 12.0).otherwise(F.lit(250.0)).alias("focal"))
     return ev.device_profile_match(f)
 
 

@@ -51,18 +51,21 @@ def card_value(raw: Column) -> dict[str, Column]:
         "v_num": F.when(~quoted, num), "v_bool": F.when(~quoted, flag)}
 
 
-def header_cards(files: DataFrame, key: str = "frame_id", blocks: int = 128) -> DataFrame:
-    """80-byte cards of the header up to END, at most ``blocks`` blocks of 2880 bytes.
+def header_cards(files: DataFrame, key: str = "frame_id") -> DataFrame:
+    """80-byte cards of the header up to END, whatever its length; all cards where END is missing.
 
-    files(key, content BINARY or STRING). Only the header prefix is cut into cards; the
-    cut at END is a comparison with the first END position of the same array.
+    files(key, content BINARY or STRING). The bytes are cut by position and each card is decoded
+    by itself, so a byte that is no text spoils its own card only and pixel bytes are never
+    decoded. Cards are read behind the first that says END.
     """
-    head = F.substring("content", 1, blocks * 2880).cast("string")
-    f = files.select(key, F.regexp_extract_all(head, F.lit("(?s)(.{80})"), 1).alias("_c"))
-    end = F.array_position(F.transform("_c", lambda c: c.startswith("END") & (F.rtrim(F.substring(c, 1, 8)) == "END")), True)
-    f = f.select(key, "_c", end.alias("_end"))
-    f = f.select(key, F.when(C("_end") > 0, F.slice("_c", F.lit(1), (C("_end") - 1).cast("int"))).otherwise(C("_c")).alias("_c"))
-    rows = f.select(key, F.posexplode("_c").alias("pos", "card"))
+    raw = C("content").cast("binary")
+    f = files.select(key, raw.alias("_b"), F.floor(F.octet_length("content") / 80).cast("int").alias("_n"))
+    # END stands at a card's start, followed by blanks
+    at = F.when(C("_n") > 0, F.filter(F.sequence(F.lit(0), C("_n") - 1), lambda i: F.substring(C("_b"), i * 80 + 1, F.lit(8)) == F.lit("END     ").cast("binary")))
+    f = f.select(key, "_b", F.when(C("_n") > 0, F.coalesce(F.get(at, F.lit(0)), C("_n"))).otherwise(0).alias("_end"))
+    rows = f.where(C("_end") > 0).select(key, "_b", F.explode(F.sequence(F.lit(0), C("_end") - 1)).alias("pos"))
+    # bytes beyond ASCII are kept as Latin-1 characters, one for each byte
+    rows = rows.select(key, "pos", F.decode(F.substring(C("_b"), C("pos") * 80 + 1, F.lit(80)), "ISO-8859-1").alias("card"))
     name = F.upper(F.trim(F.substring("card", 1, 8)))
     return rows.select(key, "pos", name.alias("key"), "card", (F.substring("card", 9, 2) == "= ").alias("valued"), F.substr("card", F.lit(11)).alias("raw"))
 
@@ -73,12 +76,12 @@ def typed_cards(cards: DataFrame, key: str = "frame_id") -> DataFrame:
     return v.select(key, "pos", "key", *[c.alias(n) for n, c in card_value(C("raw")).items()])
 
 
-def history_text(cards: DataFrame, key: str = "frame_id", limit: int = 512) -> DataFrame:
-    """Lower-case ``KEY value`` text of the first ``limit`` cards of each file, in card order."""
+def history_text(cards: DataFrame, key: str = "frame_id") -> DataFrame:
+    """Lower-case ``KEY value`` text of all cards of each file, in card order."""
     hist = C("key").isin("HISTORY", "COMMENT")
     value = F.when(hist, F.trim(F.substr("card", F.lit(9)))).when(C("valued"), F.trim(F.element_at(F.split("raw", "/"), 1))).otherwise("")
-    rows = cards.where(C("pos") < limit).select(key, "pos", F.concat_ws(" ", "key", value).alias("t"), value.alias("v")).where(C("v") != "")
-    # at most ``limit`` cards per file, so the array is bounded
+    rows = cards.select(key, "pos", F.concat_ws(" ", "key", value).alias("t"), value.alias("v")).where(C("v") != "")
+    # one header per array
     g = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "t"))).alias("p"))
     return g.select(key, F.lower(F.array_join(F.transform("p", lambda s: s["t"]), " ")).alias("text"))
 
@@ -96,7 +99,7 @@ def header_summary(typed: DataFrame, key: str = "frame_id") -> DataFrame:
     dtype = F.when(C("BITPIX") == 8, "uint8").when(C("BITPIX") == 16, "uint16").when(C("BITPIX") == 32, "int32").when(C("BITPIX") == -32, "float32").when(C("BITPIX") == -64, "float64")
     return s.select(
         key, F.when(C("_simple") > 0, "ready").otherwise("unavailable").alias("status"), pos("NAXIS1").alias("width"), pos("NAXIS2").alias("height"), F.coalesce(pos("NAXIS3"), F.lit(1)).alias("channels"),
-        dtype.alias("dtype"), F.coalesce("EXPTIME", "EXPOSURE").alias("exposure"), F.coalesce(pos("STACKCNT"), pos("NCOMBINE")).alias("stack_count"), F.coalesce("OBJECT", "OBJNAME").alias("object"),
+        dtype.alias("dtype"), C("GAIN").alias("gain"), F.coalesce("EXPTIME", "EXPOSURE").alias("exposure"), F.coalesce(pos("STACKCNT"), pos("NCOMBINE")).alias("stack_count"), F.coalesce("OBJECT", "OBJNAME").alias("object"),
         F.coalesce("FILTER", "FILTER1").alias("filter"), F.coalesce("INSTRUME", "CAMERA").alias("device"))
 
 

@@ -6,10 +6,11 @@ for stored events.
 """
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 C = F.col
@@ -107,31 +108,49 @@ def progress_throttle_stream(events: DataFrame) -> DataFrame:
 
 PREVIEW = "[PIPELINE_PREVIEW]"
 CONTINUED = r"^log: (.*)$"
-MAX_FRAGMENT = 65536
+def _closed(text: str) -> bool:
+    """No string is open, and the braces outside strings are balanced."""
+    bare = re.sub(r'"[^"]*"', "", re.sub(r"(?s)\\.", "", text))
+    return '"' not in bare and bare.count("{") <= bare.count("}")
+
+
+def _brace_steps(parts: Column) -> Column:
+    """Number of fragments up to the one that closes the object; 0 where none does.
+
+    The state carries the depth, whether a string is open and whether the last character was a
+    lone backslash, so strings and escapes may be split over lines.
+    """
+    zero = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(False).alias("escaped"), F.lit(0).alias("n"), F.lit(0).alias("end"))
+
+    def step(a: Column, x: Column) -> Column:
+        body = F.when(a["escaped"] & (F.length(x) > 0), F.substr(x, F.lit(2))).otherwise(x)
+        body = F.regexp_replace(body, r"(?s)\\.", "")
+        lone = body.endswith("\\")
+        body = F.regexp_replace(F.when(a["quoted"], F.concat(F.lit('"'), body)).otherwise(body), '"[^"]*"', "")
+        quoted = F.contains(body, F.lit('"'))
+        body = F.regexp_replace(body, '(?s)".*$', "")
+        many = lambda ch: F.length(body) - F.length(F.replace(body, F.lit(ch), F.lit("")))
+        depth, n = a["depth"] + many("{") - many("}"), a["n"] + 1
+        return F.when(a["end"] > 0, a).otherwise(F.struct(depth.alias("depth"), quoted.alias("quoted"), lone.alias("escaped"), n.alias("n"), F.when((depth <= 0) & ~quoted, n).otherwise(0).alias("end")))
+
+    return F.aggregate(parts, zero, step)["end"]
 
 
 def json_reassembly(lines: DataFrame) -> DataFrame:
     """JSON objects split over lines: a marker line opens, ``log:`` lines continue until braces close.
 
-    A new marker, another line or more than 64 Ki characters before the close drop the
-    object. Stored form: depth and length are running sums inside the marker's group,
-    and the text is joined from the few lines up to the close.
+    Braces inside strings do not count. A new marker or another line before the close drops the
+    object; its length is not limited. What is put together is one marker's unbroken lines.
     """
     w = _order("run_id")
     at = F.instr("line", PREVIEW)
     frag = F.when(at > 0, F.ltrim(F.substr("line", at + len(PREVIEW)))).otherwise(F.nullif(F.regexp_extract("line", CONTINUED, 1), F.lit("")))
     l = lines.withColumns({"_new": (at > 0).cast("int"), "_f": frag}).withColumn("_g", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0))).where(C("_g") > 0)
-    g = W.partitionBy("run_id", "_g").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
-    count = lambda ch: F.length("_f") - F.length(F.replace(C("_f"), F.lit(ch), F.lit("")))
-    l = l.withColumns({
-        "_broken": F.sum(C("_f").isNull().cast("int")).over(g), "_depth": F.sum(F.coalesce(count("{") - count("}"), F.lit(0))).over(g),
-        "_len": F.sum(F.coalesce(F.length("_f"), F.lit(0))).over(g), "_n": F.row_number().over(W.partitionBy("run_id", "_g").orderBy("ts", "event_id"))})
-    closed = (C("_depth") <= 0) & (C("_broken") == 0) & (C("_len") <= MAX_FRAGMENT)
-    ends = l.where(closed).groupBy("run_id", "_g").agg(F.min("_n").alias("_end"), F.min_by("ts", "_n").alias("ts"))
-    used = l.join(ends.select("run_id", "_g", "_end"), ["run_id", "_g"]).where(C("_n") <= C("_end"))
-    # bounded: the joined text is at most 64 Ki characters
-    text = used.groupBy("run_id", "_g").agg(F.array_sort(F.collect_list(F.struct("_n", "_f"))).alias("p"))
-    out = text.select("run_id", "_g", F.array_join(F.transform("p", lambda s: s["_f"]), "").alias("payload")).join(ends, ["run_id", "_g"])
+    g = W.partitionBy("run_id", "_g").orderBy("ts", "event_id")
+    l = l.withColumns({"_broken": F.sum(C("_f").isNull().cast("int")).over(g.rowsBetween(W.unboundedPreceding, 0)), "_n": F.row_number().over(g)}).where("_broken = 0")
+    p = l.groupBy("run_id", "_g").agg(F.sort_array(F.collect_list(F.struct("_n", "_f", "ts"))).alias("p"))
+    p = p.select("run_id", "p", _brace_steps(C("p._f")).alias("_end")).where("_end > 0")
+    out = p.select("run_id", F.get("p", C("_end") - 1)["ts"].alias("ts"), F.array_join(F.slice(C("p._f"), F.lit(1), C("_end")), "").alias("payload"))
     return out.where(C("payload").startswith("{")).select("run_id", "ts", "payload")
 
 
@@ -143,7 +162,6 @@ def json_reassembly_stream(lines: DataFrame) -> DataFrame:
         if state.hasTimedOut:
             state.remove()
             return
-        import re
         pending = state.get[0] if state.exists else None
         done = []
         for row in pd.concat(list(frames)).sort_values(["ts", "event_id"]).itertuples(index=False):
@@ -155,8 +173,8 @@ def json_reassembly_stream(lines: DataFrame) -> DataFrame:
                 pending += more.group(1)
             else:
                 pending = None
-            if pending is not None and (len(pending) > MAX_FRAGMENT or pending.count("{") <= pending.count("}")):
-                if len(pending) <= MAX_FRAGMENT and pending.startswith("{"):
+            if pending is not None and _closed(pending):
+                if pending.startswith("{"):
                     done.append((row.run_id, row.ts, pending))
                 pending = None
         state.update((pending,))
