@@ -39,23 +39,34 @@ _SYMBOL, _EDGE = b"#*$%&|<>~^{}", bytes(c for c in range(33, 127) if not chr(c).
 PREFIXES = (4, 5, 6, 7, 8)
 
 
-def prefix_numbers(raw: np.ndarray) -> np.ndarray:
-    """Numbers of the beginnings (4 to 8 bytes, A-Z lower-cased) of all words, distinct and sorted."""
+def numbers(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of all words, and of their beginnings of 4 to 8 bytes (A-Z lower-cased)."""
     start, end = shingles.word_bounds(raw)
-    if not len(start):
-        return np.empty(0, np.uint64)
-    out = []
-    for n in PREFIXES:
-        s = start[end - start >= n]
-        out.append(shingles.stretch_numbers(raw, s, s + n))
-    return np.unique(np.concatenate(out))
+    found = shingles.stretch_numbers(raw, start, end, PREFIXES)
+    size = end - start
+    return found[0], np.concatenate([found[i + 1][size >= n] for i, n in enumerate(PREFIXES)])
+
+
+class Learned:
+    """A sorted set of beginnings, with a table of their first bits in front that spares most look-ups."""
+
+    def __init__(self, found: np.ndarray) -> None:
+        self.found, self.first = found, np.zeros(1 << BITS, bool)
+        self.first[found >> np.uint64(64 - BITS)] = True
+
+    def hits(self, begins: np.ndarray) -> int:
+        """Distinct members among the beginnings; -1 where nothing was learned."""
+        if not len(self.found):
+            return -1
+        some = begins[self.first[begins >> np.uint64(64 - BITS)]]
+        return int(np.isin(self.found, some).sum()) if len(some) else 0
 
 
 def _vote(value: float, bad: bool, good: bool) -> int:
     return BAD if bad else GOOD if good else NONE
 
 
-def votes(raw: bytes, learned: np.ndarray, begins: np.ndarray) -> list[int]:
+def votes(raw: bytes, learned: Learned, begins: np.ndarray) -> list[int]:
     """Votes on one text: the first eight say good or bad prose, the last three abusive (BAD) or not."""
     low = raw.translate(_LOWER)
     words = low.split()
@@ -66,10 +77,11 @@ def votes(raw: bytes, learned: np.ndarray, begins: np.ndarray) -> list[int]:
     upper = len(raw) - len(raw.translate(None, _UPPER))
     symbol = (len(raw) - len(raw.translate(None, _SYMBOL))) / n
     stop = sum(map(_STOP.__contains__, words)) / n
-    distinct = len(set(words)) / n
+    kinds = set(words)
+    distinct = len(kinds) / n
     ends = raw.count(b". ") + raw.count(b".\n") + raw.endswith(b".")
     shout = raw.count(b"!!") / n
-    mean = sum(map(len, words)) / n
+    mean = (sum(map(len, words))) / n
     again = sum(map(eq, words, words[1:])) / n
     out = [
         _vote(symbol, symbol > 0.2, symbol < 0.05),
@@ -81,8 +93,8 @@ def votes(raw: bytes, learned: np.ndarray, begins: np.ndarray) -> list[int]:
         _vote(mean, mean > 12, 3 < mean < 9),
         _vote(again, n >= 10 and again > 0.2, n >= 10 and again < 0.05),
     ]
-    bare = {w.strip(_EDGE) for w in words} & _INSULTS
-    hits = int(np.isin(learned, begins, assume_unique=True).sum()) if len(learned) else -1
+    bare = any(w.strip(_EDGE) in _INSULTS for w in kinds)
+    hits = learned.hits(begins)
     out.append(BAD if bare else NONE)
     out.append(NONE if hits < 0 else BAD if hits > 0 else GOOD)
     out.append(NONE if hits < 0 or hits == 1 else BAD if hits > 1 else GOOD)
@@ -100,13 +112,15 @@ def unpack(code: int, n: int = QUALITY_VOTES + TOXIC_VOTES) -> list[int]:
     return [code // 3 ** (n - 1 - i) % 3 for i in range(n)]
 
 
-def features(raw: np.ndarray, v: list[int], begins: np.ndarray) -> np.ndarray:
+def features(found: np.ndarray, v: list[int], begins: np.ndarray) -> np.ndarray:
     """Hashed words and word beginnings of a text, as sorted distinct numbers under 2^BITS; the
     first places are kept for the votes."""
-    place = np.concatenate([shingles.word_numbers(raw), begins]) >> np.uint64(64 - BITS)
+    seen = np.zeros(1 << BITS, bool)
+    seen[found >> np.uint64(64 - BITS)] = True
+    seen[begins >> np.uint64(64 - BITS)] = True
     kept = 3 * len(v)
-    place = np.unique(place.astype(np.int32))
-    return np.concatenate([np.array([3 * i + x for i, x in enumerate(v)], np.int32), place[place >= kept]])
+    seen[:kept] = False
+    return np.concatenate([np.array([3 * i + x for i, x in enumerate(v)], np.int32), np.flatnonzero(seen).astype(np.int32)])
 
 
 def em(codes: np.ndarray, counts: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
@@ -177,13 +191,14 @@ class Model:
 def _seen(learned: np.ndarray, with_features: bool):
     @F.arrow_udf("struct<code:int,features:binary>")
     def see(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = Learned(learned)
         for x in it:
             code, f = [], []
             for raw in shingles.rows(x):
-                begins = prefix_numbers(raw)
-                v = votes(raw.tobytes(), learned, begins)
+                found, begins = numbers(raw)
+                v = votes(raw.tobytes(), known, begins)
                 code.append(pattern(v))
-                f.append(features(raw, v, begins).tobytes() if with_features else None)
+                f.append(features(found, v, begins).tobytes() if with_features else None)
             yield pa.StructArray.from_arrays([pa.array(code, pa.int32()), pa.array(f, pa.binary())], names=["code", "features"])
 
     return see
@@ -204,7 +219,7 @@ def learn_beginnings(docs: DataFrame, labels: DataFrame, labelled_rows: int = 8_
 
     def begin(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for x in it:
-            yield pa.array([prefix_numbers(raw).view(np.int64) for raw in shingles.rows(x)], pa.list_(pa.int64()))
+            yield pa.array([np.unique(numbers(raw)[1]).view(np.int64) for raw in shingles.rows(x)], pa.list_(pa.int64()))
 
     f = rows.select("toxic", F.explode(F.arrow_udf(begin, "array<bigint>")(F.col("text").cast("binary"))).alias("f"))
     n = f.groupBy("f").agg(F.sum((F.col("toxic") == 1).cast("long")).alias("t"), F.count("*").alias("n"))
@@ -236,13 +251,14 @@ def score(text: Column, model: Model) -> Column:
 
     @F.arrow_udf("struct<good:double,abusive:double>")
     def judge(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = Learned(learned)
         for x in it:
             out = []
             for raw in shingles.rows(x):
-                begins = prefix_numbers(raw)
-                f = features(raw, votes(raw.tobytes(), learned, begins), begins)
+                found, begins = numbers(raw)
+                f = features(found, votes(raw.tobytes(), known, begins), begins)
                 p = 1 / (1 + np.exp(-np.clip(scales(f) @ weights[f] + bias, -40, 40)))
-                out.append((float(p[0]) if len(shingles.word_bounds(raw)[0]) else 0.0, float(p[1])))
+                out.append((float(p[0]) if len(found) else 0.0, float(p[1])))
             good, abusive = zip(*out) if out else ((), ())
             yield pa.StructArray.from_arrays([pa.array(good, pa.float64()), pa.array(abusive, pa.float64())], names=["good", "abusive"])
 

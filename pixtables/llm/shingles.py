@@ -39,27 +39,31 @@ def word_bounds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return turn[0::2], turn[1::2]
 
 
-def stretch_numbers(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit number for each stretch of bytes (starts ascending), A-Z lower-cased; equal ones have equal numbers."""
-    out, i, n = np.empty(len(start), np.uint64), 0, len(start)
+def stretch_numbers(raw: np.ndarray, start: np.ndarray, end: np.ndarray, cuts: tuple[int, ...] = ()) -> np.ndarray:
+    """A 64-bit number for each stretch of bytes (starts ascending), A-Z lower-cased; equal ones have equal numbers.
+
+    With ``cuts`` (at most 64 bytes each), one row more for each: the stretch's first bytes, up to the cut.
+    """
+    out, i, n = np.empty((1 + len(cuts), len(start)), np.uint64), 0, len(start)
+    ends = np.stack([end, *[np.minimum(start + c, end) for c in cuts]])
     while i < n:
         j = max(i + 1, int(np.searchsorted(start, start[i] + _SEGMENT)))
         long = np.flatnonzero(end[i:j] - start[i:j] > _SEGMENT)
         if len(long):  # a single huge word
             j = i + int(long[0]) if long[0] else i + 1
-        if len(long) and long[0] == 0:
+        at = start[i]
+        huge = len(long) and long[0] == 0
+        piece = raw[at : at + 64] if huge else raw[at : end[j - 1]]
+        total = np.empty(len(piece) + 1, np.uint64)
+        total[0] = 0
+        np.cumsum(_BYTE[_LOWER[piece]] * _UP[: len(piece)], out=total[1:])
+        s, e = start[i:j] - at, np.minimum(ends[:, i:j] - at, len(piece))
+        out[:, i:j] = mix((total[e] - total[s]) * _BACK[s] + (e - s).astype(np.uint64))
+        if huge:
             word = _LOWER[raw[start[i] : end[i]]].tobytes()
-            out[i] = np.frombuffer(hashlib.blake2b(word, digest_size=8).digest(), np.uint64)[0]
-        else:
-            at = start[i]
-            piece = raw[at : end[i:j].max()]
-            total = np.empty(len(piece) + 1, np.uint64)
-            total[0] = 0
-            np.cumsum(_BYTE[_LOWER[piece]] * _UP[: len(piece)], out=total[1:])
-            s, e = start[i:j] - at, end[i:j] - at
-            out[i:j] = mix((total[e] - total[s]) * _BACK[s] + (e - s).astype(np.uint64))
+            out[0, i] = np.frombuffer(hashlib.blake2b(word, digest_size=8).digest(), np.uint64)[0]
         i = j
-    return out
+    return out if cuts else out[0]
 
 
 def word_numbers(raw: np.ndarray) -> np.ndarray:
