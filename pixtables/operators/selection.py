@@ -1,8 +1,6 @@
 """Sample selection and grouped kernels: the few steps that are sequential within one image."""
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
