@@ -27,6 +27,7 @@ from pixtables.session import saved
 SHARD_BLOCKS = 100_000
 LONG_CHARS, LONG_BLOCKS = 24, 3  # a repeated substring is long with so many characters or blocks
 COMMON_PAGES = 8
+SALTS = 64
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)""", re.S)
 _NAMES = re.compile(r"""(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -217,8 +218,11 @@ def html_extract(pages: DataFrame, shard_blocks: int = SHARD_BLOCKS) -> DataFram
     raw = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     streams = saved(pages.select(host, deal, F.arrow_udf(_stream, "struct<tokens:array<bigint>,sizes:array<int>>")(raw).alias("s")).select("host", "deal", "s.*"), "streams")
     shards = streams.groupBy("host").agg(F.ceil(F.sum(F.size("tokens")) / shard_blocks).cast("long").alias("shards"))
+    # one row for each of SALTS parts of a host, so that a hot host's pages are joined in many tasks
+    shards = shards.select("host", "shards", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    salt = F.pmod(F.shiftright("deal", 32), F.lit(SALTS)).alias("salt")
     shard = F.pmod(F.col("deal"), F.greatest("shards", F.lit(1))).alias("shard")
-    dealt = streams.join(shards, "host").select("host", shard, "tokens", "sizes")
+    dealt = streams.select("*", salt).join(shards, ["host", "salt"]).select("host", shard, "tokens", "sizes")
     known = dealt.groupBy("host", "shard").applyInArrow(_boilerplate, "host string, shard bigint, repeats array<bigint>, common array<bigint>")
     # each host's shards with what they found; pages are matched with the shard they were dealt to
     known = saved(known, "boilerplate")
@@ -233,6 +237,6 @@ def html_extract(pages: DataFrame, shard_blocks: int = SHARD_BLOCKS) -> DataFram
                 out.append(extract(blocks(t), *sets))
             yield pa.array(out, pa.string())
 
-    rows = pages.select("page_id", "url", host, deal, raw.alias("raw")).join(shards, "host", "left").select("page_id", "url", "raw", "host", shard)
+    rows = pages.select("page_id", "url", host, deal, raw.alias("raw")).select("*", salt).join(shards, ["host", "salt"], "left").select("page_id", "url", "raw", "host", shard)
     rows = rows.join(known, ["host", "shard"], "left")
     return rows.select("page_id", "url", F.arrow_udf(finish, "string")("raw", "repeats", "common").alias("text"))
