@@ -193,10 +193,16 @@ def idle_watchdog(events: DataFrame, idle: int = 900, export_tail: int = 120) ->
 
 
 def failure_cache(attempts: DataFrame) -> DataFrame:
-    """After a failure in a session the route is disabled for later attempts under the same key."""
-    w = _order("session", "route").rowsBetween(W.unboundedPreceding, -1)
-    disabled = F.coalesce(F.max(C("failed").cast("int")).over(w), F.lit(0)) > 0
-    return attempts.select("session", "route", "event_id", "failed", disabled.alias("disabled"))
+    """After a failure in a session the route is disabled for later attempts under the same key.
+
+    Later means after the first failure, so one minimum per key says it all: the minimum is
+    combined on the map side and joined back, and a busy key is never put in order.
+    """
+    at = F.struct("ts", "event_id")
+    first = attempts.where("failed").groupBy("session", "route").agg(F.min(at).alias("_first"))
+    first = first.select(C("session").alias("_s"), C("route").alias("_r"), "_first")
+    joined = attempts.join(first, C("session").eqNullSafe(C("_s")) & C("route").eqNullSafe(C("_r")), "left")
+    return joined.select("session", "route", "event_id", "failed", F.coalesce(at > C("_first"), F.lit(False)).alias("disabled"))
 
 
 def failure_cache_stream(attempts: DataFrame) -> DataFrame:
@@ -243,15 +249,31 @@ def merge_history(current: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def history_sink(path: str):
-    """foreachBatch function: merges a batch into the next version directory of a parquet history.
+    """foreachBatch function: merges a batch into the next version of a parquet history.
 
-    A batch is written under its own id, so a repeated batch overwrites only itself.
+    Versions count up over all runs of the stream (``v0``, ``v1``, ...), and each holds the batch
+    that made it. The newest whole version is read whatever the batch's own number, so a
+    stream with a new checkpoint goes on from the stored history; a batch that is given again
+    directly after itself takes its version's place, merged into the one before. A version
+    without the mark of a finished write does not count.
     """
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        current = spark.read.parquet(f"{path}/v{batch_id - 1}") if batch_id > 0 else batch.limit(0)
-        merge_history(current, batch).write.mode("overwrite").parquet(f"{path}/v{batch_id}")
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or ""
+        root = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+        there = [x.getPath().getName() for x in fs.listStatus(root)] if fs.exists(root) else []
+        whole = [int(n[1:]) for n in there if re.fullmatch(r"v\d+", n) and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+        newest = max(whole, default=-1)
+        made = f"{path}/made-{newest}"
+        if newest >= 0 and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(made)):
+            last = spark.read.parquet(made).first()
+            if (last["query"], last["batch"]) == (query, batch_id):
+                newest -= 1
+        current = spark.read.parquet(f"{path}/v{newest}") if newest >= 0 else batch.limit(0)
+        spark.range(1).selectExpr(f"'{query}' AS query", f"CAST({batch_id} AS BIGINT) AS batch").coalesce(1).write.mode("overwrite").parquet(f"{path}/made-{newest + 1}")
+        merge_history(current, batch).write.mode("overwrite").parquet(f"{path}/v{newest + 1}")
 
     return upsert
 

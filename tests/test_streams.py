@@ -99,3 +99,7 @@ def test_history_sink(spark, tmp_path):
     put(rows((1, 1, "success", ts(1), ts(3), ts(3))), 1)  # a repeated batch changes nothing
     got = {r["run_id"]: r["status"] for r in spark.read.schema(schema).parquet(str(tmp_path / "h" / "v1")).collect()}
     assert got == {1: "success", 2: "preparing"}
+    # a stream with a new checkpoint begins at batch 0 again: the stored history stays
+    op.history_sink(str(tmp_path / "h"))(rows((2, 9, "preparing", ts(5), None, ts(5))), 0)
+    got = {r["run_id"]: r["status"] for r in spark.read.schema(schema).parquet(str(tmp_path / "h" / "v2")).collect()}
+    assert got == {1: "success", 2: "preparing", 9: "preparing"}
