@@ -93,23 +93,31 @@ def secret_scan(docs: DataFrame, text: str = "text", key: list[str] | None = Non
     return docs.select(*[F.col(k) for k in key or ["doc_id"]], find(F.col(text), path, ratio).alias("found"))
 
 
-def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with each found stretch (overlapping ones together) replaced by a mark; null stays null."""
+def redact(text: str, spans: list[tuple[int, int, int]], mark: str) -> str:
+    """The text with each found stretch, overlapping ones together, replaced by a mark."""
+    at, parts = 0, []
+    for start, _, end in sorted(spans):
+        if start >= at:
+            parts += [text[at:start], mark]
+        at = max(at, end)
+    return "".join([*parts, text[at:]])
+
+
+def redacted(text: Column, path: str | None = None, ratio: float = 2.2, mark: str = "[SECRET]") -> Column:
+    """The text with its secrets replaced; null where there are none to replace (null texts too)."""
+    import public_tokenizers
+
+    path, pattern = path or default_ranks(), public_tokenizers.PATTERN
 
     @F.arrow_udf("string")
-    def cut(it: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for x, y in it:
+    def cut(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        enc = bpe.encoding(path, pattern)
+        for x in it:
             out = []
-            for t, found in zip(x, y):
-                if not t.is_valid or not found.is_valid or not len(found):
-                    out.append(t.as_py() if t.is_valid else None)
-                    continue
-                text, at, parts = t.as_py(), 0, []
-                for s in found.as_py():
-                    if s["start"] >= at:
-                        parts += [text[at : s["start"]], mark]
-                    at = max(at, s["end"])
-                out.append("".join([*parts, text[at:]]))
+            for t in bpe._decoded(x):
+                base = base_spans(t)
+                found = base + random_spans(t, base, enc, ratio)
+                out.append(redact(t, found, mark) if found else None)
             yield pa.array(out, pa.string())
 
-    return F.when((F.size(spans) > 0) & text.isNotNull(), cut(text, spans)).otherwise(text)
+    return cut(F.coalesce(text, F.lit("")).cast("binary"))
