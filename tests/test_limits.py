@@ -3,7 +3,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from pixtables.operators import evidence, ranks
+from pixtables.operators import evidence, ranks, selection
 from pixtables.sources import files
 from pixtables.streaming import events
 
@@ -59,3 +59,19 @@ def test_instruments_of_the_reference_table(spark):
     f = spark.createDataFrame([(i, n, 250.0) for i, n in enumerate(names)], "frame_id long, identity string, focal double")
     got = {names[r.frame_id]: (r.focal_mm, r.pixel_um) for r in evidence.device_profile_match(f).collect()}
     assert got == {k: v for k, v in want.items() if v}
+
+
+def test_star_selection_takes_the_farthest_next(spark):
+    # seeds by shape: stars 0 and 3; then the star farthest from both in units of the extent
+    rows = [(1, i, x, y, q, s, 1.0, 1.0) for i, (x, y, q, s) in enumerate([(0.0, 0.0, 0, 0.0), (1.0, 0.0, 0, 0.5), (4.0, 0.0, 0, 0.5), (10.0, 10.0, 1, 0.0), (9.0, 10.0, 1, 0.5), (10.0, 2.0, 1, 0.5), (0.0, 9.0, 0, 0.5)])]
+    rows += [(2, i, float(i), 0.0, 0, 0.0, 1.0, 1.0) for i in range(3)]
+    s = spark.createDataFrame(rows, "image_id long, star_id long, x double, y double, quadrant int, saturation_fraction double, aspect_ratio double, compactness double")
+    got = sorted((r.image_id, r.star_id) for r in selection.star_record_selection(s, 4).collect())
+    assert got == [(1, 0), (1, 3), (1, 5), (1, 6), (2, 0), (2, 1), (2, 2)]
+
+
+def test_split_of_over_256_points(spark):
+    pts = [(1, i, float(i % 20), float(i // 20), (i % 20 >= 10) + 2 * (i // 20 >= 10)) for i in range(20)] + [(2, i, float(i % 20), float(i // 20), (i % 20 >= 10) + 2 * (i // 20 >= 10)) for i in range(300)]
+    got = selection.farthest_point_split(spark.createDataFrame(pts, "image_id long, point_id long, x double, y double, quadrant int"), ratio=0.02)
+    n = {(r.image_id, r.split): r.n for r in got.groupBy("image_id", "split").agg(F.count("*").alias("n")).collect()}
+    assert n == {(1, "insufficient"): 20, (2, "validation"): 6, (2, "fit"): 294}
