@@ -40,11 +40,25 @@ def plate_scale(h: dict[str, Column]) -> Column:
     return F.coalesce(direct, cd, de, opt)
 
 
-def field_radius(width: Column, height: Column, scale_arcsec: Column) -> Column:
-    """Half diagonal of the field in degrees where size and scale are plausible."""
-    s = scale_arcsec / 3600.0
-    r = F.lit(0.5) * F.hypot(width * s, height * s)
-    return F.when((width > 0) & (height > 0) & s.between(1e-7, 0.1) & r.between(0.05, 10.0), r)
+def axis_scales(h: dict[str, Column]) -> tuple[Column, Column]:
+    """Degrees per pixel of either axis: CDELT of both, else the whole CD matrix, else pixel sizes and focal length.
+
+    The first source that is complete is taken, plausible or not.
+    """
+    known = lambda *names: F.lit(True) if not names else h[names[0]].isNotNull() & known(*names[1:])
+    delt, cd = known("CDELT1", "CDELT2"), known("CD1_1", "CD2_1", "CD1_2", "CD2_2")
+    opt = (h["XPIXSZ"] > 0) & (h["YPIXSZ"] > 0) & (h["FOCALLEN"] > 0)
+    lens = lambda c: F.lit(206.264806) * h[c] / h["FOCALLEN"] / 3600.0
+    return (
+        F.when(delt, F.abs(h["CDELT1"])).when(cd, F.hypot(h["CD1_1"], h["CD2_1"])).when(opt, lens("XPIXSZ")),
+        F.when(delt, F.abs(h["CDELT2"])).when(cd, F.hypot(h["CD1_2"], h["CD2_2"])).when(opt, lens("YPIXSZ")),
+    )
+
+
+def field_radius(width: Column, height: Column, scale_x: Column, scale_y: Column) -> Column:
+    """Half diagonal of the field in degrees where size and both scales (degrees per pixel) are plausible."""
+    r = F.lit(0.5) * F.hypot(width * scale_x, height * scale_y)
+    return F.when((width > 0) & (height > 0) & scale_x.between(1e-7, 0.1) & scale_y.between(1e-7, 0.1) & r.between(0.05, 10.0), r)
 
 
 def normal_filter(text: Column) -> Column:

@@ -223,26 +223,29 @@ def signal_preservation(pair: DataFrame, side: int, key: str = "image_id") -> Da
         ((C("_f1") - C("_f0")) / (noise * F.sqrt("pixels"))).alias("flux_sigma"), (C("_st") / noise).alias("structure"))
 
 
-def sigma_rejection_stack(frames: DataFrame, low: float = 3.0, high: float = 3.0, frame_k: float = 3.0) -> DataFrame:
+def sigma_rejection_stack(frames: DataFrame, low: float = 3.0, high: float = 3.0, frame_k: float = 3.0, target: str | None = None) -> DataFrame:
     """Mean of aligned frames per pixel after additive+scale normalisation and sigma rejection.
 
-    Frame level: median and MAD give location and scale; frames whose scale lies
-    outside ``frame_k`` robust sigmas of all frames are left out. The pixel step is one
-    aggregate per pixel for mean and deviation and one filtered aggregate, both with
-    map-side combine; the frame statistics are joined back by frame.
+    With ``target`` the frames of each target are stacked by themselves. Frame level: median and
+    MAD give location and scale; frames whose scale lies outside ``frame_k`` robust sigmas of the
+    target's frames are left out. The pixel step is one aggregate per pixel for mean and deviation
+    and one filtered aggregate, both with map-side combine; the frame statistics are joined back
+    by frame.
     """
-    st = robust_sigma(frames, ["frame_id"], {"v": C("v")}, minimum=1)
-    # one row per frame; the reference values of all frames are one row
-    st = st.select("frame_id", C("v_med").alias("loc"), F.greatest("v_sigma", F.lit(1e-9)).alias("scale")).withColumn("_all", F.lit(1))
-    ref = robust_sigma(st, ["_all"], {"s": C("scale"), "m": C("loc")}, minimum=1, whole=False)
-    st = st.join(ref, "_all")
+    key = [target] if target else ["_all"]
+    frames = frames if target else frames.withColumn("_all", F.lit(1))
+    st = robust_sigma(frames, [*key, "frame_id"], {"v": C("v")}, minimum=1)
+    # one row per frame, then one per target
+    st = st.select(*key, "frame_id", C("v_med").alias("loc"), F.greatest("v_sigma", F.lit(1e-9)).alias("scale"))
+    ref = robust_sigma(st, key, {"s": C("scale"), "m": C("loc")}, minimum=1, whole=False)
+    st = st.join(ref, key)
     st = st.withColumn("used", F.abs(C("scale") - C("s_med")) <= F.greatest(C("s_sigma") * frame_k, F.lit(1e-9)))
-    good = frames.join(st.where("used").select("frame_id", "loc", "scale", "s_med", "m_med"), "frame_id")
-    n = good.select("y", "x", ((C("v") - C("loc")) / C("scale") * C("s_med") + C("m_med")).alias("n"))
-    m = n.groupBy("y", "x").agg(F.avg("n").alias("_m"), F.stddev_pop("n").alias("_s"), F.count("*").alias("frames"))
-    keep = n.join(m, ["y", "x"]).where((C("n") >= C("_m") - C("_s") * low) & (C("n") <= C("_m") + C("_s") * high))
-    out = keep.groupBy("y", "x").agg(F.avg("n").alias("value"), F.count("*").alias("kept"), F.max("frames").alias("frames"))
-    return out.select("y", "x", "value", "frames", (C("frames") - C("kept")).alias("rejected"))
+    good = frames.join(st.where("used").select(*key, "frame_id", "loc", "scale", "s_med", "m_med"), [*key, "frame_id"])
+    n = good.select(*key, "y", "x", ((C("v") - C("loc")) / C("scale") * C("s_med") + C("m_med")).alias("n"))
+    m = n.groupBy(*key, "y", "x").agg(F.avg("n").alias("_m"), F.stddev_pop("n").alias("_s"), F.count("*").alias("frames"))
+    keep = n.join(m, [*key, "y", "x"]).where((C("n") >= C("_m") - C("_s") * low) & (C("n") <= C("_m") + C("_s") * high))
+    out = keep.groupBy(*key, "y", "x").agg(F.avg("n").alias("value"), F.count("*").alias("kept"), F.max("frames").alias("frames"))
+    return out.select(*([target] if target else []), "y", "x", "value", "frames", (C("frames") - C("kept")).alias("rejected"))
 
 
 def outside_identity(pair: DataFrame, masks: list[Column], key: str = "image_id") -> DataFrame:

@@ -34,15 +34,22 @@ def parse_angle(spark, d):
     return rounded(a, "ra_deg", "dec_deg")
 
 
-@query("plate_scale", with_views("pointing", f"""SELECT frame_id, {r6('sc')} AS scale, {r6('CASE WHEN sc/3600e0 BETWEEN 1e-7 AND 0.1e0 AND 0.5e0*sqrt(pow(4000e0*(sc/3600e0),2)+pow(3000e0*(sc/3600e0),2)) BETWEEN 0.05e0 AND 10e0 THEN 0.5e0*sqrt(pow(4000e0*(sc/3600e0),2)+pow(3000e0*(sc/3600e0),2)) END')} AS field_radius FROM (
-  SELECT frame_id, CASE frame_id%5 WHEN 0 THEN 1.5e0 WHEN 1 THEN (sqrt(pow(a,2)+pow(a/2,2))*3600e0+sqrt(pow(a/2,2)+pow(a,2))*3600e0)/2e0 WHEN 2 THEN abs(-a)*3600e0 WHEN 3 THEN 206.264806e0*3.76e0/(400e0+ra_deg) END AS sc FROM (SELECT *, 0.0001e0+abs(dec_deg)*1e-6 AS a FROM pointing))"""))
+_RADIUS = "0.5e0*sqrt(pow(4000e0*sx,2)+pow(3000e0*sy,2))"
+
+
+@query("plate_scale", with_views("pointing", f"""SELECT frame_id, {r6('sc')} AS scale, {r6(f'CASE WHEN sx BETWEEN 1e-7 AND 0.1e0 AND sy BETWEEN 1e-7 AND 0.1e0 AND {_RADIUS} BETWEEN 0.05e0 AND 10e0 THEN {_RADIUS} END')} AS field_radius FROM (
+  SELECT frame_id, CASE frame_id%5 WHEN 0 THEN 1.5e0 WHEN 1 THEN (sqrt(pow(a,2)+pow(a/2,2))*3600e0+sqrt(pow(a/3,2)+pow(a,2))*3600e0)/2e0 WHEN 2 THEN (CASE WHEN frame_id%2=0 THEN abs(-a)*3600e0 ELSE (a*3600e0+a*1.5e0*3600e0)/2e0 END) WHEN 3 THEN 206.264806e0*3.76e0/(400e0+ra_deg) END AS sc,
+  CASE frame_id%5 WHEN 1 THEN sqrt(pow(a,2)+pow(a/2,2)) WHEN 2 THEN a WHEN 3 THEN 206.264806e0*3.76e0/(400e0+ra_deg)/3600e0 END AS sx,
+  CASE frame_id%5 WHEN 1 THEN sqrt(pow(a/3,2)+pow(a,2)) WHEN 2 THEN (CASE WHEN frame_id%2=0 THEN 0e0 ELSE a*1.5e0 END) WHEN 3 THEN 206.264806e0*3e0/(400e0+ra_deg)/3600e0 END AS sy
+  FROM (SELECT *, 0.0001e0+abs(dec_deg)*1e-6 AS a FROM pointing))"""))
 def plate_scale(spark, d):
     i, a = C("frame_id") % 5, F.lit(0.0001) + F.abs(C("dec_deg")) * 1e-6
     on = lambda k, e: F.when(i == k, e)
-    h = {"SECPIX": on(0, F.lit(1.5)), "PIXSCALE": F.lit(None).cast("double"), "CD1_1": on(1, a), "CD2_1": on(1, a / 2), "CD1_2": on(1, a / 2), "CD2_2": on(1, a),
-         "CDELT1": on(2, -a), "CDELT2": on(2, F.lit(0.0)), "XPIXSZ": on(3, F.lit(3.76)), "FOCALLEN": on(3, F.lit(400.0) + C("ra_deg"))}
-    p = fx.pointing(spark, d).withColumn("scale", fn.plate_scale(h))
-    p = p.select("frame_id", "scale", fn.field_radius(F.lit(4000.0), F.lit(3000.0), C("scale")).alias("field_radius"))
+    h = {"SECPIX": on(0, F.lit(1.5)), "PIXSCALE": F.lit(None).cast("double"), "CD1_1": on(1, a), "CD2_1": on(1, a / 2), "CD1_2": on(1, a / 3), "CD2_2": on(1, a),
+         "CDELT1": on(2, -a), "CDELT2": on(2, F.when(C("frame_id") % 2 == 0, 0.0).otherwise(a * 1.5)), "XPIXSZ": on(3, F.lit(3.76)), "YPIXSZ": on(3, F.lit(3.0)), "FOCALLEN": on(3, F.lit(400.0) + C("ra_deg"))}
+    sx, sy = fn.axis_scales(h)
+    p = fx.pointing(spark, d).withColumns({"scale": fn.plate_scale(h), "sx": sx, "sy": sy})
+    p = p.select("frame_id", "scale", fn.field_radius(F.lit(4000.0), F.lit(3000.0), C("sx"), C("sy")).alias("field_radius"))
     return rounded(p, "scale", "field_radius")
 
 

@@ -75,3 +75,15 @@ def test_split_of_over_256_points(spark):
     got = selection.farthest_point_split(spark.createDataFrame(pts, "image_id long, point_id long, x double, y double, quadrant int"), ratio=0.02)
     n = {(r.image_id, r.split): r.n for r in got.groupBy("image_id", "split").agg(F.count("*").alias("n")).collect()}
     assert n == {(1, "insufficient"): 20, (2, "validation"): 6, (2, "fit"): 294}
+
+
+def test_stack_keeps_targets_apart(spark):
+    from pixtables.operators import pairs
+
+    rows = [(t, f, y, x, 10.0 * t + f + 0.1 * ((x * 7 + y * 3 + f) % 5)) for t in (1, 2) for f in range(6) for y in range(3) for x in range(3)]
+    df = spark.createDataFrame(rows, "target long, frame_id long, y int, x int, v double")
+    both = pairs.sigma_rejection_stack(df, target="target")
+    for t in (1, 2):
+        one = pairs.sigma_rejection_stack(df.where(F.col("target") == t).drop("target"))
+        key = lambda d: sorted((r.y, r.x, round(r.value, 9), r.frames, r.rejected) for r in d.collect())
+        assert key(both.where(F.col("target") == t)) == key(one)
