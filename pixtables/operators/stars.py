@@ -314,16 +314,21 @@ def name_match(sky: DataFrame, frames: DataFrame) -> DataFrame:
     return allm.groupBy("frame_id").agg(best).select("frame_id", C("b.sky_id").alias("sky_id"), (-C("b.s")).alias("score"))
 
 
-def identity(frames: DataFrame, by_name: DataFrame, by_sky: DataFrame, sky: DataFrame, field_radius: float) -> DataFrame:
-    """Corroborated, composite in the field, coordinate, name, conflict or visual identity per frame."""
+def identity(frames: DataFrame, by_name: DataFrame, by_sky: DataFrame, sky: DataFrame) -> DataFrame:
+    """Corroborated, composite in the field, coordinate, name, conflict or visual identity per frame.
+
+    Two different objects of one type make a composite when both lie within the frame's own
+    ``field_radius`` (null: unknown, no composite); sky has a ``type`` per object.
+    """
     n = by_name.select("frame_id", C("sky_id").alias("nid"), C("score").alias("ns"))
     s = by_sky.select("frame_id", C("sky_id").alias("cid"), C("score").alias("cs"), C("distance").alias("cd"))
-    pos = sky.select(C("sky_id").alias("nid"), C("ra_deg").alias("nra"), C("dec_deg").alias("ndec"), C("size_arcmin").alias("nsize"))
-    kind = sky.select(C("sky_id").alias("cid"), C("size_arcmin").alias("csize"))
-    j = frames.select("frame_id", "ra_deg", "dec_deg").join(n, "frame_id", "left").join(s, "frame_id", "left").join(pos, "nid", "left").join(kind, "cid", "left")
+    kindof = F.lower(F.trim(F.coalesce("type", F.lit(""))))
+    pos = sky.select(C("sky_id").alias("nid"), C("ra_deg").alias("nra"), C("dec_deg").alias("ndec"), kindof.alias("ntype"))
+    kind = sky.select(C("sky_id").alias("cid"), kindof.alias("ctype"))
+    j = frames.select("frame_id", "ra_deg", "dec_deg", "field_radius").join(n, "frame_id", "left").join(s, "frame_id", "left").join(pos, "nid", "left").join(kind, "cid", "left")
     nd = angular_distance(C("ra_deg"), C("dec_deg"), C("nra"), C("ndec"))
     j = j.withColumn("nd", nd)
-    inside = (C("nd") <= field_radius * 1.05) & (C("cd") <= field_radius * 1.05) & (C("nsize") % 2 == C("csize") % 2)
+    inside = (C("nd") <= C("field_radius") * 1.05) & (C("cd") <= C("field_radius") * 1.05) & (C("ntype") == C("ctype"))
     both = C("nid").isNotNull() & C("cid").isNotNull()
     status = (
         F.when(both & (C("nid") == C("cid")), "corroborated").when(both & inside, "composite_resolved").when(both & (C("ns") >= 0.90), "conflict")

@@ -198,10 +198,12 @@ def catalog_name_join(spark, d):
     return rounded(op.name_match(named_sky(spark, d), texts(spark, d)), "score")
 
 
-@query("identity_resolution", with_views("sky pointing", """SELECT frame_id, st AS status, CASE WHEN st IN ('corroborated','composite_resolved','name_resolved') THEN nid WHEN st='coordinate_resolved' THEN cid END AS sky_id FROM (SELECT *, CASE WHEN nid=cid THEN 'corroborated' WHEN nid IS NOT NULL AND cid IS NOT NULL AND nd<=31.5e0 AND distance<=31.5e0 AND nsize%2=csize%2 THEN 'composite_resolved'
+@query("identity_resolution", with_views("sky pointing", """SELECT frame_id, st AS status, CASE WHEN st IN ('corroborated','composite_resolved','name_resolved') THEN nid WHEN st='coordinate_resolved' THEN cid END AS sky_id FROM (SELECT *, CASE WHEN nid=cid THEN 'corroborated' WHEN nid IS NOT NULL AND cid IS NOT NULL AND nd<=fr*1.05e0 AND distance<=fr*1.05e0 AND nid%3=cid%3 THEN 'composite_resolved'
   WHEN nid IS NOT NULL AND cid IS NOT NULL AND ns>=0.9 THEN 'conflict' WHEN nid IS NOT NULL AND cid IS NOT NULL THEN 'coordinate_resolved' WHEN nid IS NOT NULL THEN 'name_resolved' WHEN cid IS NOT NULL THEN 'coordinate_resolved' ELSE 'visual_fallback' END AS st FROM (
-  SELECT t.frame_id, nm.sky_id nid, nm.score ns, sm.sky_id cid, sm.distance, a.size_arcmin nsize, b.size_arcmin csize, degrees(acos(least(greatest(sin(radians(t.dec_deg))*sin(radians(a.dec_deg))+cos(radians(t.dec_deg))*cos(radians(a.dec_deg))*cos(radians(t.ra_deg)-radians(a.ra_deg)),-1e0),1e0))) nd
-  FROM tx t LEFT JOIN nm USING (frame_id) LEFT JOIN sm USING (frame_id) LEFT JOIN sky a ON a.sky_id=nm.sky_id LEFT JOIN sky b ON b.sky_id=sm.sky_id))""", tx=_TX, nm=_NMM, sm=_SKYM))
+  SELECT t.frame_id, nm.sky_id nid, nm.score ns, sm.sky_id cid, sm.distance, CASE WHEN t.frame_id%7<>0 THEN 30e0-(t.frame_id%3)*10e0 END AS fr, degrees(acos(least(greatest(sin(radians(t.dec_deg))*sin(radians(a.dec_deg))+cos(radians(t.dec_deg))*cos(radians(a.dec_deg))*cos(radians(t.ra_deg)-radians(a.ra_deg)),-1e0),1e0))) nd
+  FROM tx t LEFT JOIN nm USING (frame_id) LEFT JOIN sm USING (frame_id) LEFT JOIN sky a ON a.sky_id=nm.sky_id))""", tx=_TX, nm=_NMM, sm=_SKYM))
 def identity_resolution(spark, d):
     sk, t = named_sky(spark, d), texts(spark, d)
-    return op.identity(t, op.name_match(sk, t), op.sky_match(fx.sky(spark, d), t), sk, 30.0)
+    kind = F.element_at(F.array(F.lit("galaxy"), F.lit("Nebula "), F.lit("cluster")), (C("sky_id") % 3 + 1).cast("int"))
+    radius = F.when(C("frame_id") % 7 != 0, F.lit(30.0) - C("frame_id") % 3 * 10.0)
+    return op.identity(t.withColumn("field_radius", radius), op.name_match(sk, t), op.sky_match(fx.sky(spark, d), t), sk.withColumn("type", kind))
