@@ -19,6 +19,9 @@ _ADAPTIVE = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # tables hash-partitioned by image join on (image, y, x) without another shuffle
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    # texts vary from a word to megabytes: batches for Python are bounded by bytes, not by rows alone
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "4000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
 }
 
 
