@@ -5,9 +5,10 @@ Jaccard distance d = 1 - J is a metric. Two texts link when d <= 0.25, decided o
 1. Equal sets are one class; from here on only classes count, copies are never paired.
 2. Entry. In this space nearly all pairs of texts lie at distance 1, so pivots drawn at random
    would leave almost all texts in one void region. Each class keeps the SKETCH smallest hashes of
-   its set. Linked sets share at least NEED of them (all sets up to SKETCH shingles: exactly; larger
-   ones: but for a probability of 2e-12), so a class with fewer hashes that any other class has is
-   alone, and the others enter the regions of their rarest shared hashes, all but NEED - 1 of them.
+   its set. Linked sets share at least NEED of them (see needed(): exactly where one of the two has
+   up to SKETCH shingles; two larger ones: but for a probability of 2e-12), so a class with fewer
+   hashes that any other class has is alone, and the others enter the regions of their rarest
+   shared hashes, all but NEED - 1 of them.
    Common passages, lines and words are the most frequent hashes and open no region.
 3. Voronoi regions. Each entry goes to the pivot of its region: the class with the most shared
    hashes there, which in a family of near copies is its centre. The exact overlap with the pivot
@@ -163,14 +164,24 @@ def _entries(rows: DataFrame, first: bool = False) -> DataFrame:
         F.xxhash64("space", "x.e").alias("key"), "node", "hub", "need", "given", (F.col("all") - F.col("at")).alias("rest"))
 
 
+def needed(n: Column) -> Column:
+    """How many sketch entries a set of n shingles has in common with the sketch of any set it links with.
+
+    The sketch of n <= SKETCH shingles is the whole set. A partner of m shingles shares 0.75 m or more
+    with it; where m > SKETCH, its sketch lacks m - SKETCH of its own, which leaves SKETCH - m / 4, and m
+    is at most n / 0.75.
+    """
+    whole = F.least(F.ceil(n * LINK_TOP / LINK_BOTTOM), SKETCH - F.floor(F.floor(n * LINK_BOTTOM / LINK_TOP) * (LINK_BOTTOM - LINK_TOP) / LINK_BOTTOM))
+    return F.when(n <= SKETCH, whole).otherwise(NEED)
+
+
 def _linked(docs: DataFrame, sketch: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(classes: node, digest, n, doc_id, text_key of one row; links: node, comp)."""
     classes = saved(
         sketch.where(F.col("digest").isNotNull()).groupBy("digest")
         .agg(F.first("n").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("o"), "doc_id", "text_key")).alias("r"), F.first("low").alias("low"))
         .select(F.monotonically_increasing_id().alias("node"), "digest", "n", "r.doc_id", "r.text_key", "low"), "classes")
-    need = F.when(F.col("n") <= SKETCH, F.ceil(F.col("n") * LINK_TOP / LINK_BOTTOM)).otherwise(NEED)
-    region = saved(_entries(classes.select(F.lit(-1).cast("long").alias("space"), "node", F.col("node").alias("comp"), need.alias("need"), F.lit(0).cast("long").alias("given"), F.explode("low").alias("e")), True), "region")
+    region = saved(_entries(classes.select(F.lit(-1).cast("long").alias("space"), "node", F.col("node").alias("comp"), needed(F.col("n")).alias("need"), F.lit(0).cast("long").alias("given"), F.explode("low").alias("e")), True), "region")
     nodes = saved(region.select("node").distinct().join(classes.select("node", "n", "doc_id", "text_key"), "node"), "nodes")
     m = nodes.count()
     d = docs.select(F.col("doc_id").alias("_d"), F.xxhash64("text").alias("_k"), "text")

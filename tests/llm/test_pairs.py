@@ -93,6 +93,17 @@ def test_join_of_a_dense_family(spark, monkeypatch, leaf):
     assert joined(spark, texts) == brute(texts)
 
 
+def test_join_of_sets_around_the_sketch(spark):
+    """Isolated pairs of a set that fits its sketch and a larger one that does not; all link, hardly."""
+    texts = {}
+    for i, (n, m) in enumerate([(64, 85), (64, 84), (64, 83), (63, 84), (62, 82), (60, 80), (61, 81), (48, 64), (49, 65)] * 8):
+        w = [f"p{i}w{k}" for k in range(m + 4)]
+        texts |= {2 * i: " ".join(w[: n + 4]), 2 * i + 1: " ".join(w)}
+    got = joined(spark, texts)
+    assert got == brute(texts)
+    assert all(c == d // 2 * 2 for d, (_, c) in got.items())
+
+
 def test_join_of_edge_rows(spark):
     docs = rows.documents(spark)
     got = jaccard_join.jaccard_components(docs).collect()
