@@ -9,7 +9,10 @@ the page's unique runs. Inside a marked article a repeated block goes only if ha
 pages have it and it is less than half of that article; copies of an article are thus kept.
 
 A host with many pages is dealt over shards by the number of its blocks, each shard with its own
-suffix array, so one hot host never meets in one task. Only block numbers are grouped.
+suffix array, so one hot host never meets in one task. What a long substring covers is also covered
+by the shortest long runs (one to three blocks) that begin or end at its blocks; the shards of a host
+are merged over the numbers of those runs and the page counts of their blocks, so the verdicts
+are those of one suffix array over the host. Only numbers are grouped.
 """
 from __future__ import annotations
 
@@ -24,6 +27,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from pixtables.session import saved
 
+from . import shingles
+
 SHARD_BLOCKS = 100_000
 LONG_CHARS, LONG_BLOCKS = 24, 3  # a repeated substring is long with so many characters or blocks
 COMMON_PAGES = 8
@@ -120,9 +125,51 @@ def repeated(pages: np.ndarray, tokens: np.ndarray, weight: np.ndarray) -> np.nd
     common prefix of any two suffixes, which ends at the end of a page.
     """
     n = len(tokens)
-    covered = np.zeros(n + 1, np.int64)
+    size = shared_sizes(pages, tokens)
+    total = np.concatenate([[0], np.cumsum(weight)])
+    at = np.arange(n)
+    long = (size >= LONG_BLOCKS) | ((size > 0) & (total[at + size] - total[at] >= LONG_CHARS))
+    return covered(n, at[long], size[long])
+
+
+def covered(n: int, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which of n tokens lie in one of the runs."""
+    turn = np.zeros(n + 1, np.int64)
+    np.add.at(turn, start, 1)
+    np.add.at(turn, start + size, -1)
+    return np.cumsum(turn)[:n] > 0
+
+
+def long_runs(pages: np.ndarray, tokens: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, length, number) of the shortest long runs that begin or end at each token, within its page.
+
+    A long run of neighbouring tokens is covered by those of them that lie in it.
+    """
+    n = len(tokens)
+    start, size, number_ = [], [], []
+    at, found = np.arange(n), [np.zeros(n, bool), np.zeros(n, bool)]
+    for k in range(1, LONG_BLOCKS + 1):
+        m = max(n - k + 1, 0)
+        inside = pages[:m] == pages[k - 1 :]
+        chars, value = np.zeros(m, np.int64), np.full(m, k, np.uint64)
+        for j in range(k):
+            chars += weight[j : m + j]
+            value = shingles.mix(value * np.uint64(0x9E3779B97F4A7C15) + tokens[j : m + j].view(np.uint64))
+        long = inside & ((chars >= LONG_CHARS) | (k == LONG_BLOCKS))
+        new = long & ~(found[0][:m] & found[1][k - 1 :])  # no shorter one at its begin, or none at its end
+        found[0][:m] |= long
+        found[1][k - 1 :] |= long
+        start.append(at[:m][new])
+        size.append(np.full(int(new.sum()), k, np.int64))
+        number_.append(value[new].view(np.int64))
+    return np.concatenate(start), np.concatenate(size), np.concatenate(number_)
+
+
+def shared_sizes(pages: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """Length of the longest substring from each token on that also stands on another page."""
+    n = len(tokens)
     if n == 0:
-        return covered[:0].astype(bool)
+        return np.zeros(0, np.int64)
     left = np.searchsorted(pages, pages, "right") - np.arange(n)  # tokens to the end of the page
     level = [np.unique(tokens, return_inverse=True)[1].astype(np.int64)]
     step, longest = 1, int(left.max())
@@ -157,17 +204,13 @@ def repeated(pages: np.ndarray, tokens: np.ndarray, weight: np.ndarray) -> np.nd
         out[order[ok]] = size
         return out
 
-    size = np.maximum(common(start - 1), common(stop + 1))
-    total = np.concatenate([[0], np.cumsum(weight)])
-    at = np.arange(n)
-    long = (size >= LONG_BLOCKS) | ((size > 0) & (total[at + size] - total[at] >= LONG_CHARS))
-    np.add.at(covered, at[long], 1)
-    np.add.at(covered, at[long] + size[long], -1)
-    return np.cumsum(covered)[:n] > 0
+    return np.maximum(common(start - 1), common(stop + 1))
 
 
 def extract(found: list[tuple[int, str]], repeats: set[int], common: set[int]) -> str:
-    """Main text of a page's blocks: its article, else its main element, else its unique runs."""
+    """Main text of a page's blocks: its article, else its main element, else its unique runs.
+
+    ``repeats``: numbers of the long runs that other pages of the host have too."""
     best = max((p for p, _ in found), default=0)
     if best >= 2:
         main = [(number(p, t), t) for p, t in found if p == best]
@@ -175,7 +218,11 @@ def extract(found: list[tuple[int, str]], repeats: set[int], common: set[int]) -
         if 2 * drop < sum(len(t) for _, t in main):
             main = [(k, t) for k, t in main if k not in common]
         return "\n".join(t for _, t in main)
-    return "\n".join(t for p, t in found if p == 1 and number(p, t) not in repeats)
+    tokens = np.array([number(p, t) for p, t in found], np.int64)
+    start, size, runs = long_runs(np.zeros(len(found), np.int64), tokens, np.array([len(t) for _, t in found], np.int64))
+    hit = np.array([k in repeats for k in runs.tolist()], bool)
+    gone = covered(len(found), start[hit], size[hit])
+    return "\n".join(t for (p, t), x in zip(found, gone) if p == 1 and not x)
 
 
 def _texts(x: pa.Array) -> Iterator[str]:
@@ -193,18 +240,52 @@ def _stream(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.StructArray.from_arrays([pa.array(tokens, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32()))], names=["tokens", "sizes"])
 
 
+_FOUND = "host string, shard bigint, n bigint, repeats array<bigint>, common array<bigint>, runs array<struct<run:bigint,local:boolean,tokens:array<bigint>>>, held array<struct<token:bigint,pages:bigint>>"
+
+
 def _boilerplate(group: pa.Table) -> pa.Table:
-    """One shard: block numbers covered by repeated substrings, and those on half of its pages."""
+    """One shard: the long runs that its pages repeat, and covered block numbers on half of its pages.
+
+    Where the host has other shards: all its long runs, and block numbers with their page counts.
+    """
     lists = group.column("tokens").combine_chunks()
     tokens = lists.flatten().to_numpy()
     n = np.diff(lists.offsets.to_numpy())
     pages = np.repeat(np.arange(len(n)), n)
     weight = group.column("sizes").combine_chunks().flatten().to_numpy().astype(np.int64)
-    covered = np.unique(tokens[repeated(pages, tokens, weight)])
+    start, size, number_ = long_runs(pages, tokens, weight)
+    hit = shared_sizes(pages, tokens)[start] >= size if len(start) else np.zeros(0, bool)
     per_page = np.unique(np.stack([tokens, pages]), axis=1)[0] if len(tokens) else tokens
     held, on = np.unique(per_page, return_counts=True)
-    common = np.intersect1d(held[(on >= COMMON_PAGES) & (2 * on >= len(n))], covered)
-    return pa.table({"host": group.column("host")[:1], "shard": group.column("shard")[:1], "repeats": pa.array([covered], pa.list_(pa.int64())), "common": pa.array([common], pa.list_(pa.int64()))})
+    repeats, common, runs, counts = [], [], [], []
+    if group.column("shards")[0].as_py() <= 1:
+        repeats = np.unique(number_[hit])
+        common = np.intersect1d(held[(on >= COMMON_PAGES) & (2 * on >= len(n))], tokens[covered(len(tokens), start[hit], size[hit])])
+    else:
+        every, first = np.unique(number_, return_index=True)
+        local = np.isin(every, number_[hit])
+        runs = [{"run": k, "local": o, "tokens": tokens[start[i] : start[i] + size[i]].tolist()} for k, o, i in zip(every.tolist(), local.tolist(), first.tolist())]
+        counts = [{"token": t, "pages": c} for t, c in zip(held.tolist(), on.tolist())]
+    run_kind, held_kind = pa.struct([("run", pa.int64()), ("local", pa.bool_()), ("tokens", pa.list_(pa.int64()))]), pa.struct([("token", pa.int64()), ("pages", pa.int64())])
+    return pa.table({
+        "host": group.column("host")[:1], "shard": group.column("shard")[:1], "n": pa.array([len(n)], pa.int64()),
+        "repeats": pa.array([repeats], pa.list_(pa.int64())), "common": pa.array([common], pa.list_(pa.int64())),
+        "runs": pa.array([runs], pa.list_(run_kind)), "held": pa.array([counts], pa.list_(held_kind)),
+    })
+
+
+def _merged(known: DataFrame) -> DataFrame:
+    """host, shard, repeats, common with the verdicts of whole hosts. A key has one row for each shard at most."""
+    runs = known.select("host", "shard", F.explode("runs").alias("r")).select("host", "shard", "r.*")
+    again = runs.groupBy("host", "run").agg(F.count("*").alias("c"), F.max("local").alias("local"), F.first("tokens").alias("tokens")).where("local or c > 1")
+    repeats = runs.join(again.select("host", "run"), ["host", "run"]).groupBy("host", "shard").agg(F.collect_list("run").alias("r"))
+    held = known.select("host", "shard", F.explode("held").alias("t")).select("host", "shard", "t.*")
+    pages = known.where(F.size("held") > 0).select("host").distinct().join(known.groupBy("host").agg(F.sum("n").alias("n")), "host")
+    on = held.groupBy("host", "token").agg(F.sum("pages").alias("pages")).where(F.col("pages") >= COMMON_PAGES)
+    on = on.join(pages, "host").where("2 * pages >= n").join(again.select("host", F.explode("tokens").alias("token")).distinct(), ["host", "token"])
+    common = held.join(on.select("host", "token"), ["host", "token"]).groupBy("host", "shard").agg(F.collect_list("token").alias("c"))
+    out = known.select("host", "shard", "repeats", "common").join(repeats, ["host", "shard"], "left").join(common, ["host", "shard"], "left")
+    return out.select("host", "shard", F.coalesce("r", "repeats").alias("repeats"), F.coalesce("c", "common").alias("common"))
 
 
 def html_extract(pages: DataFrame, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
@@ -222,10 +303,10 @@ def html_extract(pages: DataFrame, shard_blocks: int = SHARD_BLOCKS) -> DataFram
     shards = shards.select("host", "shards", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
     salt = F.pmod(F.shiftright("deal", 32), F.lit(SALTS)).alias("salt")
     shard = F.pmod(F.col("deal"), F.greatest("shards", F.lit(1))).alias("shard")
-    dealt = streams.select("*", salt).join(shards, ["host", "salt"]).select("host", shard, "tokens", "sizes")
-    known = dealt.groupBy("host", "shard").applyInArrow(_boilerplate, "host string, shard bigint, repeats array<bigint>, common array<bigint>")
+    dealt = streams.select("*", salt).join(shards, ["host", "salt"]).select("host", "shards", shard, "tokens", "sizes")
+    known = saved(dealt.groupBy("host", "shard").applyInArrow(_boilerplate, _FOUND), "found")
     # each host's shards with what they found; pages are matched with the shard they were dealt to
-    known = saved(known, "boilerplate")
+    known = saved(_merged(known), "boilerplate")
 
     def finish(it: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for x, r, c in it:

@@ -181,6 +181,38 @@ def test_html_boilerplate_of_a_host(spark, shard):
     assert html_extract.html_extract(rows.empty(spark.createDataFrame(plain, "page_id long, url string, html string"))).count() == 0
 
 
+def test_html_of_a_host_does_not_depend_on_its_shards(spark):
+    """Boilerplate that few pages repeat, short blocks beside it and common blocks in articles; a short block stays where it stands alone."""
+    rng = random.Random(8)
+    plain = []
+    for i in range(60):
+        foot = f"<div>Notice that two pages share, number {i // 2}</div><div>Ok</div>"
+        body = "".join(f"<div>{rng.choice('abcde') * 3}</div>" for _ in range(rng.randrange(6)))
+        article = "<article><p>" + f"Long unique article text {i} " * 4 + "</p><p>Sign up for the weekly letter</p></article>"
+        plain.append((i, f"http://h.example/{i}", f"<p>Unique text number {i} of this site</p>{foot}<hr>{body}" if i % 6 < 2 else article))
+    plain.append((60, "http://h.example/60", "<p>Ok</p><p>Alone here and not repeated</p>"))
+    df = spark.createDataFrame(plain, "page_id long, url string, html string")
+    one, many = ({r.page_id: r.text for r in html_extract.html_extract(df, s).collect()} for s in (100_000, 10))
+    assert one == many
+    assert one[60] == "Ok\nAlone here and not repeated"
+    assert all("Notice" not in t and "weekly" not in t for t in many.values())
+
+
+def test_long_runs_cover_what_the_suffix_array_covers():
+    rng = random.Random(5)
+    for _ in range(300):
+        pages = [[rng.randrange(5) for _ in range(rng.randrange(9))] for _ in range(rng.randrange(1, 6))]
+        tokens = np.array([c for p in pages for c in p], np.int64)
+        own = np.array([i for i, p in enumerate(pages) for _ in p], np.int64)
+        weight = np.array([2, 9, 13, 23, 30])[tokens]
+        start, size, runs = html_extract.long_runs(own, tokens, weight)
+        on = {}
+        for a, k in zip(start.tolist(), runs.tolist()):
+            on.setdefault(k, set()).add(own[a])
+        hit = np.array([len(on[k]) > 1 for k in runs.tolist()], bool)
+        assert html_extract.covered(len(tokens), start[hit], size[hit]).tolist() == html_extract.repeated(own, tokens, weight).tolist()
+
+
 def test_articles_that_repeat_stay(spark):
     page = "<nav>Menu of the site</nav><article><h1>Same</h1><p>The same article text on many pages</p></article>"
     got = html_extract.html_extract(spark.createDataFrame([(i, f"http://h/{i}", page) for i in range(20)], "page_id long, url string, html string")).collect()
