@@ -2,7 +2,9 @@
 
 Prose and identifiers made of words take three or more characters per token of a public
 vocabulary; keys and passwords take about one to two. A candidate string is tested when no fixed
-pattern covers it and it is not a known harmless form (digest, UUID, address, number, path).
+pattern covers it and it is not a known harmless form (digest, UUID, number). Paths and assignments
+are decided by their parts: a candidate with a quarter of words or digests among its parts is none itself, but
+each of its long parts is tested. Passwords in the user part of an address are tested from 8 characters.
 """
 from __future__ import annotations
 
@@ -27,7 +29,9 @@ _HARMLESS = re.compile(
     r"(?:sha\d+-)?(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})"
     r"|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9+/_=-]+|(.)\1+"
 )
-_LOOKS_RANDOM = re.compile(r"(?=.*[0-9])(?=.*[A-Za-z])")
+_PART = re.compile(r"[^/=]+")
+_LEAST, _WORD = 20, 4  # characters of a candidate, and of a part that can be told from random
+_USER = re.compile(r"://[^\s/:@]*:([^\s/@]{8,})@")
 
 
 def default_ranks() -> str:
@@ -49,15 +53,24 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def random_spans(text: str, taken: list[tuple[int, int, int]], enc, ratio: float) -> list[tuple[int, int, int]]:
-    out = []
+    out: list[tuple[int, int, int]] = []
+
+    def random(v: str) -> bool:
+        return not _HARMLESS.fullmatch(v) and len(v) <= ratio * len(enc.encode_ordinary(v))
+
+    def free(s: int, e: int) -> bool:
+        return not any(a < e and s < b for a, _, b in taken) and not any(a < e and s < b for a, _, b in out)
+
+    if "://" in text:
+        out += [(m.start(1), 3, m.end(1)) for m in _USER.finditer(text) if free(*m.span(1)) and random(m[1])]
     for m in _CANDIDATE.finditer(text):
         s, e = m.span()
-        if any(a < e and s < b for a, _, b in taken) or _HARMLESS.fullmatch(m[0]) or not _LOOKS_RANDOM.match(m[0]):
-            continue
-        if text[s - 1 : s] in ("@", ".", "/", ":") or text[e : e + 1] in ("@",) or m[0].count("/") > 2:
-            continue  # part of a mail address, host or path
-        if e - s <= ratio * len(enc.encode_ordinary(m[0])):
+        parts = list(_PART.finditer(m[0]))
+        words = sum(len(p[0]) for p in parts if len(p[0]) >= _WORD and not random(p[0]))
+        if 4 * words < sum(len(p[0]) for p in parts) and free(s, e) and random(m[0]):
             out.append((s, 3, e))
+            continue
+        out += [(s + p.start(), 3, s + p.end()) for p in parts if len(p[0]) >= _LEAST and free(s + p.start(), s + p.end()) and random(p[0])]
     return out
 
 

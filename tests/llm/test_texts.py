@@ -77,6 +77,20 @@ def test_secrets(spark, sf):
     assert red[0] == "é [SECRET]' end" and red[2] == "[SECRET]" and red[3] is None and red[6] is None
 
 
+def test_random_strings_wherever_they_stand():
+    def found(t):
+        base = secret_scan.base_spans(t)
+        return [t[a:b] for a, _, b in sorted(secret_scan.random_spans(t, base, library(), 2.2))]
+
+    key, slashed, letters = "kQ7zPx9vLm2RtY8wBn4CsD6f", "wJalr7Utn/EMIK7MDEN/bPxRf9CYqZ/x3kVtGh8QpLs2", "kQxzPxvLmRtYwBnCsDfZqWj"
+    for t in (f"private_key:{key}", f"see https://user:{key}@host/", f"part.{key}.{key[::-1]}", f"https://host/{key}", letters, slashed):
+        assert found(t), t
+    assert found(f"x {slashed} y") == [slashed] and found("ftp://me:x9Qz!7kP@host") == ["x9Qz!7kP"]
+    assert found(f"https://host/some/long/path/of/words/{key}") == [key]
+    for t in ("https://example.com/documentation/getting/started/index", "org/apache/spark/sql/catalyst/expressions", "internationalisationdepartment", "max_connection_timeout_seconds", "https://user:password@host", "commit/D41D8CD98F00B204E9800998ECF8427E/files"):
+        assert found(t) == [], t
+
+
 @pytest.mark.parametrize("vocabulary,hot", [(1024, 400_000), (50, 200)])
 def test_language_model(spark, sf, vocabulary, hot):
     docs = plans.table(spark, sf, "documents")
