@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 SLICE = 1 << 20  # bytes of a text split into words at a time
-GROUP = 4 << 20  # bytes whose new words share one index
-KNOWN = 400_000  # words whose ids a worker keeps; the memory is then started anew, ids do not change
+GROUP = 2 << 20  # bytes whose new words share one index
+KNOWN = 200_000  # words whose ids a worker keeps; the memory is then started anew, ids do not change
 _SPACE = re.compile(rb"[\x09-\x0D ]")
 _PLAIN = re.compile(r"[!-~]+")
 _PLAIN_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")  # the vocabulary's own pattern on U+0021..U+007E
