@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat_format, decontaminate, html_extract, jaccard_join, lm_score, quality_classifier, quality_rules, secret_scan, spelling_groups, substring_dedup, turn_repair, word_bpe
+from . import bpe, chat_format, check_sql, decontaminate, html_extract, jaccard_join, lm_score, quality_classifier, quality_rules, secret_scan, spelling_groups, substring_dedup, turn_repair, word_bpe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -131,12 +131,12 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(word_bpe.decode(F.col("ids")), 256).alias("decoded_sha256"))
 
 
-@query("op12_turn_repair")
+@query("op12_turn_repair", check_sql.TURN_REPAIR)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     repaired = turn_repair.repair(turn_repair.damaged(table(spark, sf_dir, "conversations")))
     return repaired.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
 
 
-@query("op13_spelling_groups")
+@query("op13_spelling_groups", check_sql.SPELLING_GROUPS)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_groups.spelling_groups(table(spark, sf_dir, "documents"))
