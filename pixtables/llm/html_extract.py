@@ -20,6 +20,7 @@ import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -308,16 +309,18 @@ def html_extract(pages: DataFrame, shard_blocks: int = SHARD_BLOCKS) -> DataFram
     # each host's shards with what they found; pages are matched with the shard they were dealt to
     known = saved(_merged(known), "boilerplate")
 
-    def finish(it: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for x, r, c in it:
-            out, last, sets = [], None, (set(), set())
-            for t, a, b in zip(_texts(x), r, c):
-                key = (a.as_py(), b.as_py())
-                if key != last:
-                    last, sets = key, (set(key[0] or ()), set(key[1] or ()))
-                out.append(extract(blocks(t), *sets))
+    def finish(it: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        met: dict[tuple, tuple[set[int], set[int]]] = {}  # a shard's numbers are made into sets once, not for each of its pages
+        for x, h, k, r, c in it:
+            out = []
+            for t, key, a, b in zip(_texts(x), zip(h.to_pylist(), k.to_pylist()), r, c):
+                if key not in met:
+                    if sum(map(len, map(itemgetter(0), met.values()))) > 10 * SHARD_BLOCKS:
+                        met.clear()
+                    met[key] = tuple(set(v.values.to_numpy().tolist()) if v.is_valid else set() for v in (a, b))
+                out.append(extract(blocks(t), *met[key]))
             yield pa.array(out, pa.string())
 
     rows = pages.select("page_id", "url", host, deal, raw.alias("raw")).select("*", salt).join(shards, ["host", "salt"], "left").select("page_id", "url", "raw", "host", shard)
     rows = rows.join(known, ["host", "shard"], "left")
-    return rows.select("page_id", "url", F.arrow_udf(finish, "string")("raw", "repeats", "common").alias("text"))
+    return rows.select("page_id", "url", F.arrow_udf(finish, "string")("raw", "host", "shard", "repeats", "common").alias("text"))
