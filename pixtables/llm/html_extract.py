@@ -37,16 +37,34 @@ SALTS = 64
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)""", re.S)
 _NAMES = re.compile(r"""(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_PART = re.compile(r"[a-z]+")
+_PART = re.compile(r"[a-z0-9]+")
 # fixed values: elements and names that hold no main text
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript template iframe".split())
 _BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
 _CHROME = frozenset("head nav footer aside form menu dialog button select svg script style textarea title noscript template iframe".split())
 _CHROME_NAMES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead cookie cookies consent notice notices popup modal overlay newsletter subscribe subscription comment comments reply replies respond disqus share sharing social related recommended widget toolbar login signup pagination pager complementary contentinfo search alert dialog".split())
+# fixed values: what may stand beside such a name in a class name, and what turns it round
+_SUFFIXES = frozenset("area section list box bar wrap wrapper container inner outer block left right top bottom content item items link links form panel row col column group slot unit title text icon icons button buttons site page main primary secondary global top1 top2 post posts body".split())
+_TURNS = frozenset("no not non has have with without is hide hides hidden disable disabled skip".split())
+_WHOLE = frozenset("html body main article".split())  # no class name makes these chrome
+_ARTICLE = re.compile(r"<(?:article|main)[\s>]", re.I)
 _STACKED = _BLOCK - frozenset("p li dt dd h1 h2 h3 h4 h5 h6 hr option td th tr tbody thead tfoot caption legend summary body html".split())
 
 
+def chrome_name(name: str) -> bool:
+    """Whether a class name, id or role as a whole is that of chrome: ``site-footer``, not ``no-footer`` or ``footer-history``."""
+    parts = _PART.findall(name)
+    if not parts or parts[0] in _TURNS:
+        return False
+    return any(x in _CHROME_NAMES for x in parts) and all(x in _CHROME_NAMES or x in _SUFFIXES or x.isdigit() for x in parts)
+
+
+def header_name(name: str) -> bool:
+    parts = _PART.findall(name)
+    return "header" in parts and all(x == "header" or x in _SUFFIXES or x.isdigit() for x in parts)
+
+
 def blocks(page: str) -> list[tuple[int, str]]:
     """(place, text) of each block in page order; place: 0 chrome, 1 body, 2 main element, 3 article."""
     out: list[tuple[int, str]] = []
@@ -91,8 +109,8 @@ def blocks(page: str) -> list[tuple[int, str]]:
         attributes = m[3] if m[2] else m[6]
         if name in _BLOCK:
             close()
-            if stack and stack[-1][0] in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6") and name in _BLOCK:
-                place = stack.pop()[1]  # a chrome paragraph without an end ends where the next block starts
+            if stack and (stack[-1][0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6") or stack[-1][0] == name == "li"):
+                place = stack.pop()[1]  # a chrome paragraph without an end ends where the next block starts, an item where the next one does
         if name in _RAW:
             end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
             at = end.end() if end else n
@@ -100,11 +118,17 @@ def blocks(page: str) -> list[tuple[int, str]]:
         named = set()
         if attributes and "=" in attributes:
             for x in _NAMES.finditer(attributes):
-                named.update(_PART.findall((x[1] or x[2] or x[3] or "").lower()))
-        chrome = name in _CHROME or named & _CHROME_NAMES or (place < 2 and (name == "header" or "header" in named)) or ("banner" in named)
+                named.update((x[1] or x[2] or x[3] or "").lower().split())
+        chrome = name in _CHROME
+        if name == "form":  # one around the article is no form of the page
+            end = page.find("</form", at)
+            chrome = not _ARTICLE.search(page, at, end if end >= 0 else n)
+        if name not in _WHOLE:
+            chrome = chrome or any(map(chrome_name, named)) or (place < 2 and (name == "header" or any(map(header_name, named))))
         inside = 3 if name == "article" or "articlebody" in named else 2 if name == "main" or "main" in named else 1
         new = 0 if chrome or place == 0 else max(place, inside)
-        if new != place or name in _STACKED:
+        # inside chrome an element of the name of an open one is held too, so that its end does not close the outer one
+        if new != place or name in _STACKED or (place == 0 and any(x == name for x, _ in stack)):
             if attributes.endswith("/"):
                 continue
             close()

@@ -231,3 +231,27 @@ def test_articles_that_repeat_stay(spark):
     page = "<nav>Menu of the site</nav><article><h1>Same</h1><p>The same article text on many pages</p></article>"
     got = html_extract.html_extract(spark.createDataFrame([(i, f"http://h/{i}", page) for i in range(20)], "page_id long, url string, html string")).collect()
     assert {r.text for r in got} == {"Same\nThe same article text on many pages"}
+
+
+@pytest.mark.parametrize("page, want", [
+    ('<body class="no-sidebar"><p>Text.</p></body>', "Text."),
+    ('<article class="post has-sidebar"><p>Text.</p></article>', "Text."),
+    ('<div class="social-science"><p>Text.</p></div>', "Text."),
+    ('<section id="comments-on-the-law"><p>Text.</p></section>', "Text."),
+    ('<body><form action="/x"><article><p>Text.</p></article></form></body>', "Text."),
+    ('<body><p>Text.</p><form><p>Name</p><input></form></body>', "Text."),
+    ('<p>Text.</p><span class="ad">Buy <span>now</span> cheap</span>', "Text."),
+    ('<p>Text.</p><ul><li class="share"><div>Share me</div></li><li>Point</li></ul>', "Text.\nPoint"),
+    ('<p>Text.</p><ul><li class="share">Share me<li>Point</ul>', "Text.\nPoint"),
+    ('<main class="content-sidebar"><p>Text.</p></main>', "Text."),
+    ('<p>Text.</p><div class="cookie-banner"><p>We use cookies</p></div>', "Text."),
+    ('<p>Text.</p><div id="site-footer">c</div><div class="sidebar_left">x</div><div role="navigation">y</div>', "Text."),
+    ('<p>Text.</p><div class="ad-slot-2">x</div><div class="related posts">y</div><div class="comments-area">z</div>', "Text."),
+    ('<div class="page-header"><h1>Site</h1></div><article><div class="entry-header"><h1>Title</h1></div><p>Text.</p></article>', "Title\nText."),
+    ('<p>Text.</p><div class="menu"><div><div>a</div></div>b</div>', "Text."),
+    ('<div class="advertisers-guide"><p>Text.</p></div>', "Text."),
+    ('<div class="a-menu-for-two"><p>Text.</p></div>', "Text."),
+    ("", ""), ("<p></p>", ""), ("a &amp; b", "a & b"),
+])
+def test_awkward_pages(page, want):
+    assert html_extract.extract(html_extract.blocks(page), set(), set()) == want
