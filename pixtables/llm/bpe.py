@@ -13,6 +13,7 @@ on to the end of that run and the chunks inside it are empty: no text is cut els
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -36,7 +37,6 @@ def default_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
-@lru_cache(maxsize=2)
 def ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
@@ -114,6 +114,31 @@ def _joiner():
     return join
 
 
+def coded(text: Column, path: str | None = None, pattern: str | None = None, size: int = CHUNK) -> Column:
+    """struct<ids: binary, decoded_sha256: string> of a text, null counting as empty: encoded by chunks and decoded in one
+    evaluation, so that a task needs one Python worker with one vocabulary. The chunks of one text are not spread."""
+    import numpy as np
+
+    path, pattern = path or default_ranks(), pattern or default_pattern()
+
+    @F.arrow_udf("struct<ids: binary, decoded_sha256: string>")
+    def both(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        enc, table = encoding(path, pattern), id_bytes(path).__getitem__
+        for x in it:
+            ids, digests = [], []
+            for t in _decoded(x):
+                sha, parts = hashlib.sha256(), []
+                for i, c in enumerate(overlapping_chunks(t, size)):
+                    got = enc.encode_to_numpy(stitched(c, i == 0), disallowed_special=()).astype("<u4", copy=False)
+                    sha.update(b"".join(map(table, got.tolist())))
+                    parts.append(got)
+                ids.append(np.concatenate(parts).tobytes())
+                digests.append(sha.hexdigest())
+            yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(digests, pa.string())], names=["ids", "decoded_sha256"])
+
+    return both(text.cast("binary"))
+
+
 def decode(ids: Column, path: str | None = None) -> Column:
     """Bytes of a column of little-endian unsigned 32-bit ids."""
     import numpy as np

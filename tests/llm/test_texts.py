@@ -1,4 +1,5 @@
 """BPE, secrets, language model, classifier and HTML against brute force or held-out truth."""
+import hashlib
 import math
 import random
 import re
@@ -39,11 +40,13 @@ def test_stitched_chunks_give_the_librarys_ids(text, size):
 def test_bpe_round_trip(spark, size):
     docs = rows.documents(spark)
     coded = bpe.encode(docs, key=["doc_id", "text"], size=size)
-    got = coded.select("text", "n_tokens", "ids", bpe.decode(F.col("ids")).alias("raw")).collect()
+    one = bpe.coded(F.col("text"), size=size)
+    got = coded.select("text", "n_tokens", "ids", bpe.decode(F.col("ids")).alias("raw"), one["ids"].alias("again"), one["decoded_sha256"].alias("digest")).collect()
     assert len(got) == len(rows.TEXTS) + 1
     for r in got:
         want = library().encode_ordinary(r.text or "")
         assert np.frombuffer(bytes(r.ids), "<u4").tolist() == want and r.n_tokens == len(want) and bytes(r.raw) == (r.text or "").encode()
+        assert r.digest == hashlib.sha256((r.text or "").encode()).hexdigest() and bytes(r.again) == bytes(r.ids)
     assert bpe.encode(rows.empty(docs)).count() == 0
 
 
