@@ -47,8 +47,8 @@ def secrets_redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit) and the digest of the decoded bytes; null texts have no ids."""
     configure(spark)
-    coded = bpe.encode(docs)
-    return coded.select("doc_id", "n_tokens", "ids", F.sha2(bpe.decode(F.col("ids")), 256).alias("decoded_sha256"))
+    coded = docs.select("doc_id", bpe.coded(F.col("text")).alias("c")).select("doc_id", "c.*")
+    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", "decoded_sha256")
 
 
 STAGES = [
@@ -58,7 +58,7 @@ STAGES = [
     ("secret_scan", secrets_redacted),
     ("bpe", tokens),
 ]
-ORACLE_SQL = None  # a trained classifier and a vocabulary's merges are beyond SQL; see tests/llm/test_pipeline.py
+ORACLE_SQL = None  # a trained classifier and a vocabulary's merges are beyond SQL; see tests/llm/test_pairs.py
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
