@@ -336,12 +336,16 @@ def recent_lines(lines: DataFrame, keep: int = 256) -> DataFrame:
     return lines.withColumn("age", F.row_number().over(w)).where(F.col("age") <= keep)
 
 
+def with_group_key(frames: DataFrame) -> DataFrame:
+    """Frames with cleaned target, filter, camera and geometry and the key of their case-folded parts."""
+    parts = ["target", "filter", "camera", "geometry"]
+    clean = {p: F.coalesce(F.nullif(F.trim(F.regexp_replace(p, r"\s+", " ")), F.lit("")), F.lit("unknown")) for p in parts}
+    return frames.withColumns(clean).withColumn("group_key", F.substring(F.sha2(F.concat_ws("\u001f", *[F.lower(p) for p in parts]), 256), 1, 12))
+
+
 def light_groups(frames: DataFrame) -> DataFrame:
     """Group frames on target, filter, camera and geometry; key from the case-folded parts."""
     parts = ["target", "filter", "camera", "geometry"]
-    clean = {p: F.coalesce(F.nullif(F.trim(F.regexp_replace(p, r"\s+", " ")), F.lit("")), F.lit("unknown")) for p in parts}
-    f = frames.withColumns(clean)
-    key = F.substring(F.sha2(F.concat_ws("\u001f", *[F.lower(p) for p in parts]), 256), 1, 12)
-    return f.withColumn("group_key", key).groupBy("group_key").agg(
+    return with_group_key(frames).groupBy("group_key").agg(
         *[F.min(p).alias(p) for p in parts], F.count("*").alias("frames"), F.sum("bytes").alias("bytes"), F.min("name").alias("first_name"), F.max("name").alias("last_name"),
     )

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed import fixed
 from ..operators import audit as op
-from ..sources import fixtures as fx
+from ..sources import fixtures as fx, headers
 from .registry import VIEWS, query, r6, with_views
 
 # ---- tables of this area, derived from orders and lineitem -----------------
@@ -303,7 +303,16 @@ def recent_lines(spark, d):
   FROM (SELECT target, CASE WHEN filter='' THEN 'unknown' ELSE filter END AS filter, CASE WHEN frame_id%3=0 THEN 'unknown' ELSE concat('cam ', frame_id%3) END AS camera,
   concat(1024*(1+frame_id%2),'x1024@1x1') AS geometry, bytes, name FROM frames) GROUP BY lower(target), lower(filter), camera, geometry"""))
 def light_group_key(spark, d):
+    return op.light_groups(_lights(spark, d))
+
+
+@query("light_group_files", with_views("frames", """SELECT group_key, name, bytes FROM (SELECT name, bytes, substring(sha256(concat(lower(target),chr(31),lower(CASE WHEN filter='' THEN 'unknown' ELSE filter END),chr(31),
+  CASE WHEN frame_id%3=0 THEN 'unknown' ELSE concat('cam ', frame_id%3) END,chr(31),concat(1024*(1+frame_id%2),'x1024@1x1'))),1,12) AS group_key FROM frames)"""))
+def light_group_files(spark, d):
+    return headers.light_group_files(_lights(spark, d), "name")
+
+
+def _lights(spark, d):
     i = F.col("frame_id")
     f = fx.frames(spark, d).withColumn("camera", F.when(i % 3 == 0, " ").otherwise(F.concat(F.lit("cam  "), (i % 3).cast("string"))))
-    f = f.withColumn("geometry", F.concat((F.lit(1024) * (1 + i % 2)).cast("string"), F.lit("x1024@1x1")))
-    return op.light_groups(f)
+    return f.withColumn("geometry", F.concat((F.lit(1024) * (1 + i % 2)).cast("string"), F.lit("x1024@1x1")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources import files as op
-from ..sources import fixtures as fx
+from ..sources import fixtures as fx, headers
 from .registry import query, r6, with_views
 
 C = F.col
@@ -49,17 +49,40 @@ _HC = """SELECT frame_id, pos, key, v_str, CAST(v_num AS DOUBLE) AS v_num, v_boo
 
 @query("header_cards", with_views("frames", "SELECT frame_id, CAST(pos AS INT) AS pos, key, v_str, v_num, v_bool FROM hc", hc=_HC))
 def header_cards(spark, d):
-    return op.typed_cards(op.header_cards(header_files(spark, d)))
+    return headers.typed_cards(headers.header_cards(header_files(spark, d)))
 
 
 @query("history_text", with_views("frames", "SELECT frame_id, lower(concat('SIMPLE T BITPIX ', CASE WHEN frame_id%2=0 THEN '16' ELSE '-32' END, ' NAXIS1 ', 1000+frame_id%7, ' NAXIS2 800 OBJECT ''Bob''''s ', target, ' '' FILTER ''', filter, ''' EXPTIME ', frame_id%9+1, '.5D1 STACKCNT ', frame_id%4, ' HISTORY step ', frame_id%3, ' COMMENT made by Tool', CASE WHEN frame_id%10=0 THEN ' GAIN 7 INSTRUME ''late''' ELSE '' END)) AS text FROM frames"))
 def history_text(spark, d):
-    return op.history_text(op.header_cards(header_files(spark, d)))
+    return headers.history_text(headers.header_cards(header_files(spark, d)))
 
 
-@query("header_summary", with_views("frames", "SELECT frame_id, 'ready' AS status, CAST(1000+frame_id%7 AS INT) AS width, 800 AS height, 1 AS channels, CASE WHEN frame_id%2=0 THEN 'uint16' ELSE 'float32' END AS dtype, CAST((frame_id%9+1.5)*10 AS DOUBLE) AS exposure, CASE WHEN frame_id%4>0 THEN CAST(frame_id%4 AS INT) END AS stack_count, concat('Bob''s ',target) AS object, CASE WHEN filter<>'' THEN filter END AS filter, CASE WHEN frame_id%10=0 THEN 'late' END AS device, CASE WHEN frame_id%10=0 THEN 7e0 END AS gain FROM frames"))
+_HS = """SELECT frame_id, CASE WHEN frame_id%11=0 THEN 'unavailable' ELSE 'ready' END AS status, CAST(CASE WHEN frame_id%11=0 THEN 17 ELSE 18 END AS INT) AS fields,
+  CAST(1000+frame_id%7 AS INT) AS width, 800 AS height, CAST(CASE WHEN frame_id%3=0 THEN 3 ELSE 1 END AS INT) AS channels, CASE WHEN frame_id%2=0 THEN 'uint16' ELSE 'float32' END AS dtype,
+  CAST((frame_id%9+1.5)*10 AS DOUBLE) AS exposure, CASE WHEN frame_id%4>0 THEN CAST(frame_id%4 AS INT) END AS stack_count, frame_id%4>1 AS per_frame,
+  CASE WHEN filter<>'' THEN concat(filter, CASE WHEN filter='LP' THEN '' ELSE ' · LP' END) ELSE 'LP' END AS filter, concat('Scope ', frame_id%2, ' · CAM') AS device, concat('sens', frame_id%5) AS sensor0,
+  CAST(CASE WHEN frame_id%6>0 THEN frame_id%6 END AS INT) AS bin_x, CAST(CASE WHEN frame_id%6>0 THEN frame_id%6 END AS INT) AS bin_y, 7e0 AS gain, CAST(-(frame_id%20) AS DOUBLE)-0.5e0 AS sensor_celsius,
+  CAST(NULL AS DOUBLE) AS focal_mm, CAST(NULL AS DOUBLE) AS pixel_x_um, CAST(NULL AS DOUBLE) AS pixel_y_um, concat('Bob''s ',target) AS object, CAST(NULL AS VARCHAR) AS observed, CAST(NULL AS VARCHAR) AS image_type,
+  CAST(NULL AS VARCHAR) AS ra, CAST(NULL AS VARCHAR) AS dec, 'GRBG' AS bayer, CAST(NULL AS VARCHAR) AS software FROM frames"""
+
+
+@query("header_summary", with_views("frames", "SELECT * EXCLUDE (sensor0, device), sensor0 AS sensor, concat(device, ' · ', sensor0) AS device FROM hs", hs=_HS))
 def header_summary(spark, d):
-    return op.header_summary(op.typed_cards(op.header_cards(header_files(spark, d))))
+    """Two blocks of cards, names under several keys, a key given twice, sizes and temperatures, and pixels behind END."""
+    f = fx.frames(spark, d)
+    i = C("frame_id")
+    s = lambda c: c.cast("string")
+    pad = lambda c: F.rpad(c, 80, " ")
+    val = lambda k, v: pad(F.concat(F.rpad(F.lit(k), 8, " "), F.lit("= "), v))
+    text = lambda *c: F.concat(F.lit("'"), *c, F.lit("' / x"))
+    cards = F.array(
+        F.when(i % 11 == 0, pad(F.lit("COMMENT"))).otherwise(val("SIMPLE", F.lit("T"))), val("BITPIX", F.when(i % 2 == 0, "16").otherwise("-32")), val("NAXIS1", F.lit("5")), val("NAXIS1", s(1000 + i % 7)), val("NAXIS2", F.lit("800 / rows")),
+        F.when(i % 3 == 0, val("NAXIS3", F.lit("3"))).otherwise(pad(F.lit("HISTORY = none"))), val("OBJECT", text(F.lit("  "))), val("OBJNAME", text(F.lit("Bob''s   "), C("target"))), val("FILTER", text("filter")), val("FILTER1", text(F.lit("LP"))),
+        val("EXPTIME", F.concat(s(i % 9 + 1), F.lit(".5D1"))), val("STACKCNT", s(i % 4)), val("TELESCOP", text(F.lit("Scope "), s(i % 2))), val("INSTRUME", text(F.lit("CAM"))), val("DETECTOR", text(F.lit("sens"), s(i % 5))),
+        val("XBINNING", s(i % 6)), val("GAIN", F.lit("7")), val("CCD-TEMP", F.concat(F.lit("-"), s(i % 20), F.lit(".5"))), val("BAYERPAT", text(F.lit("GRBG"))), *[pad(F.lit("COMMENT  line"))] * 20, pad(F.lit("END")))
+    head = F.rpad(F.array_join(cards, ""), 5760, " ")
+    files = f.select("frame_id", F.concat(head.cast("binary"), F.unhex(F.repeat(F.lit("FF00A5"), 2000))).alias("content"))
+    return headers.header_summary(files)
 
 
 @query("json_scan", with_views("", "SELECT event_id, CAST(json_extract(props,'$.k') AS BIGINT) AS k FROM events WHERE event_id%5<>0 AND event_id%7<>0"))

@@ -1,9 +1,9 @@
-"""File sources and sinks: frame listings, header cards, JSON documents, output inventories."""
+"""File sources and sinks: frame listings, JSON documents, output inventories."""
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 C = F.col
 
@@ -36,73 +36,6 @@ def frame_scan(listing: DataFrame) -> DataFrame:
     return listing.where(ok & (starts(("light_",)) | has(LIGHT_DIRS)))
 
 
-def card_value(raw: Column) -> dict[str, Column]:
-    """Typed value of the text after ``= ``: string, boolean or number."""
-    v = F.trim(raw)
-    quoted = v.startswith("'")
-    # the closing quote is the first single one; doubled quotes stand for one
-    inner = F.regexp_extract(v, r"^'((?:[^']|'')*)", 1)
-    text = F.trim(F.replace(inner, F.lit("''"), F.lit("'")))
-    bare = F.trim(F.element_at(F.split(v, "/"), 1))
-    num = F.when(bare.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([EeDd][+-]?\d+)?$"), F.replace(F.upper(bare), F.lit("D"), F.lit("E")).try_cast("double"))
-    flag = F.when(bare.isin("T", "F"), bare == "T")
-    return {
-        "v_str": F.when(quoted, text).when(num.isNull() & flag.isNull(), bare),
-        "v_num": F.when(~quoted, num), "v_bool": F.when(~quoted, flag)}
-
-
-def header_cards(files: DataFrame, key: str = "frame_id") -> DataFrame:
-    """80-byte cards of the header up to END, whatever its length; all cards where END is missing.
-
-    files(key, content BINARY or STRING). The bytes are cut by position and each card is decoded
-    by itself, so a byte that is no text spoils its own card only and pixel bytes are never
-    decoded. Cards are read behind the first that says END.
-    """
-    raw = C("content").cast("binary")
-    f = files.select(key, raw.alias("_b"), F.floor(F.octet_length("content") / 80).cast("int").alias("_n"))
-    # END stands at a card's start, followed by blanks
-    at = F.when(C("_n") > 0, F.filter(F.sequence(F.lit(0), C("_n") - 1), lambda i: F.substring(C("_b"), i * 80 + 1, F.lit(8)) == F.lit("END     ").cast("binary")))
-    f = f.select(key, "_b", F.when(C("_n") > 0, F.coalesce(F.get(at, F.lit(0)), C("_n"))).otherwise(0).alias("_end"))
-    rows = f.where(C("_end") > 0).select(key, "_b", F.explode(F.sequence(F.lit(0), C("_end") - 1)).alias("pos"))
-    # bytes beyond ASCII are kept as Latin-1 characters, one for each byte
-    rows = rows.select(key, "pos", F.decode(F.substring(C("_b"), C("pos") * 80 + 1, F.lit(80)), "ISO-8859-1").alias("card"))
-    name = F.upper(F.trim(F.substring("card", 1, 8)))
-    return rows.select(key, "pos", name.alias("key"), "card", (F.substring("card", 9, 2) == "= ").alias("valued"), F.substr("card", F.lit(11)).alias("raw"))
-
-
-def typed_cards(cards: DataFrame, key: str = "frame_id") -> DataFrame:
-    """Value cards with their typed columns."""
-    v = cards.where(C("valued") & (C("key") != ""))
-    return v.select(key, "pos", "key", *[c.alias(n) for n, c in card_value(C("raw")).items()])
-
-
-def history_text(cards: DataFrame, key: str = "frame_id") -> DataFrame:
-    """Lower-case ``KEY value`` text of all cards of each file, in card order."""
-    hist = C("key").isin("HISTORY", "COMMENT")
-    value = F.when(hist, F.trim(F.substr("card", F.lit(9)))).when(C("valued"), F.trim(F.element_at(F.split("raw", "/"), 1))).otherwise("")
-    rows = cards.select(key, "pos", F.concat_ws(" ", "key", value).alias("t"), value.alias("v")).where(C("v") != "")
-    # one header per array
-    g = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "t"))).alias("p"))
-    return g.select(key, F.lower(F.array_join(F.transform("p", lambda s: s["t"]), " ")).alias("text"))
-
-
-def header_summary(typed: DataFrame, key: str = "frame_id") -> DataFrame:
-    """Size, data type, channels, exposure, stack count, object and filter per file with key fallbacks.
-
-    The last card of a repeated key wins, as in a dictionary.
-    """
-    last = lambda k, col: F.max_by(F.when(C("key") == k, C(col)), F.when(C("key") == k, C("pos")))
-    want = {"num": ["BITPIX", "NAXIS1", "NAXIS2", "NAXIS3", "EXPTIME", "EXPOSURE", "STACKCNT", "NCOMBINE", "GAIN"], "str": ["OBJECT", "OBJNAME", "FILTER", "FILTER1", "INSTRUME", "CAMERA"]}
-    aggs = [last(k, "v_num").alias(k) for k in want["num"]] + [F.when(F.trim(last(k, "v_str")) != "", last(k, "v_str")).alias(k) for k in want["str"]]
-    s = typed.groupBy(key).agg(F.count_if((C("key") == "SIMPLE")).alias("_simple"), *aggs)
-    pos = lambda c: F.when((C(c) > 0) & (C(c) == F.floor(c)), C(c).cast("int"))
-    dtype = F.when(C("BITPIX") == 8, "uint8").when(C("BITPIX") == 16, "uint16").when(C("BITPIX") == 32, "int32").when(C("BITPIX") == -32, "float32").when(C("BITPIX") == -64, "float64")
-    return s.select(
-        key, F.when(C("_simple") > 0, "ready").otherwise("unavailable").alias("status"), pos("NAXIS1").alias("width"), pos("NAXIS2").alias("height"), F.coalesce(pos("NAXIS3"), F.lit(1)).alias("channels"),
-        dtype.alias("dtype"), C("GAIN").alias("gain"), F.coalesce("EXPTIME", "EXPOSURE").alias("exposure"), F.coalesce(pos("STACKCNT"), pos("NCOMBINE")).alias("stack_count"), F.coalesce("OBJECT", "OBJNAME").alias("object"),
-        F.coalesce("FILTER", "FILTER1").alias("filter"), F.coalesce("INSTRUME", "CAMERA").alias("device"))
-
-
 def read_json_documents(spark: SparkSession, root: str, schema: str, glob: str = "*.json") -> DataFrame:
     """One row per JSON document file that holds an object; others give no row."""
     docs = spark.read.option("wholetext", "true").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(root)

@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from pixtables.operators import evidence, ranks, selection
-from pixtables.sources import files
+from pixtables.sources import headers
 from pixtables.streaming import events
 
 
@@ -15,12 +15,14 @@ def card(text):
 def test_header_over_128_blocks_and_bytes_that_are_no_text(spark):
     head = card("SIMPLE  =                    T") + card("HISTORY 20° dark") + b"".join(card(f"HISTORY step {i}") for i in range(6000)) + card("NAXIS1  =                 1000") + card("END")
     body = head + b"\xff\x00" * 500 + card("NAXIS1  =                    7")
-    cards = files.header_cards(spark.createDataFrame([(1, bytearray(body)), (2, bytearray(b"")), (3, None), (4, bytearray(card("A       = 1")))], "frame_id long, content binary"))
+    given = spark.createDataFrame([(1, bytearray(body)), (2, bytearray(b"")), (3, None), (4, bytearray(card("A       = 1")))], "frame_id long, content binary")
+    cards = headers.header_cards(given)
     assert {r.frame_id: r.n for r in cards.groupBy("frame_id").agg(F.count("*").alias("n")).collect()} == {1: 6003, 4: 1}
     assert cards.where("frame_id = 1 and pos = 6002").first().key == "NAXIS1" and cards.where("pos = 1").first().card.strip() == "HISTORY 20° dark"
-    text = files.history_text(cards).where("frame_id = 1").first().text
+    text = headers.history_text(cards).where("frame_id = 1").first().text
     assert "step 5999" in text
-    assert files.header_summary(files.typed_cards(cards)).where("frame_id = 1").first().width == 1000
+    told = {r.frame_id: (r.status, r.width, r.fields) for r in headers.header_summary(given).collect()}
+    assert told == {1: ("ready", 1000, 2), 2: ("unavailable", None, 0), 3: ("unavailable", None, 0), 4: ("unavailable", None, 1)}
 
 
 def test_seventy_candidates_and_repeated_entries(spark):
