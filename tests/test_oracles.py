@@ -7,8 +7,8 @@ from oracle_check import compare, duck
 from pixtables import plans
 
 QUERIES, SQL = entry.queries(), dict(plans.ORACLES)  # optional subpackages test their own
-# components and greedy matches run many rounds; they are covered at full scale by tests/oracle_check.py
-SLOW = {"three_role_crossmatch", "image_features", "target_type_rules", "auto_tune", "pattern_noise", "halfmax_fwhm", "valid_and_saturation_masks"}
+# these two are covered at full scale by tests/oracle_check.py
+SLOW = {"three_role_crossmatch", "pattern_noise"}
 
 
 @pytest.fixture(scope="module")
