@@ -13,11 +13,11 @@ C = F.col
 
 
 def pts(spark, d):
-    """Points whose 5x5 patch lies inside the image."""
-    return fx.points(spark, d).where((C("y") < 14) & (C("x") < 14))
+    """All points; patches at the border of an image are measured on the pixels they have."""
+    return fx.points(spark, d)
 
 
-_PTS = "SELECT * FROM points WHERE y<14 AND x<14"
+_PTS = "SELECT * FROM points"
 
 
 def patch_ctes(r: int, src: str = "dlum", p: str = "", pts_: str = "pt", cols: str = "d.l") -> dict[str, str]:
@@ -44,13 +44,9 @@ def patch_join(spark, d):
     return op.patch_join(fx.points(spark, d), fx.lum(spark, d), 2).groupBy("image_id", "point_id").agg(F.count("*").alias("pixels"), F.min("l").alias("lo"), F.max("l").alias("hi"))
 
 
-_P3 = "SELECT * FROM points WHERE y BETWEEN 3 AND 12 AND x BETWEEN 3 AND 12"
-
-
-@query("patch_uncertainty", with_views("points dlum", f"SELECT image_id, point_id, n AS pixels, {rsel('median mad')}, coalesce(nb,0) AS blocks, {r6('uncertainty',8)} AS uncertainty FROM pst", pt=_P3, **patch_ctes(3)))
+@query("patch_uncertainty", with_views("points dlum", f"SELECT image_id, point_id, n AS pixels, {rsel('median mad')}, coalesce(nb,0) AS blocks, {r6('uncertainty',8)} AS uncertainty FROM pst", pt=_PTS, **patch_ctes(3)))
 def patch_uncertainty(spark, d):
-    p = fx.points(spark, d).where(C("y").between(3, 12) & C("x").between(3, 12))
-    s = op.patch_stats(op.patch_join(p, fx.dlum(spark, d), 3), 3)
+    s = op.patch_stats(op.patch_join(pts(spark, d), fx.dlum(spark, d), 3), 3)
     s = rounded(s, "median", "mad")
     return rounded(s, "uncertainty", digits=8).select("image_id", "point_id", "pixels", "median", "mad", "blocks", "uncertainty")
 

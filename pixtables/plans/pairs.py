@@ -186,9 +186,9 @@ def field_coverage_grid(spark, d):
 
 
 @query("crop_area_limit", with_views("px", f"SELECT image_id, x0, y0, x1-x0 AS w, y1-y0 AS h, {r6('(x1-x0)*(y1-y0)/256e0')} AS area_share, lim AS limited FROM (SELECT image_id, least(a,1) x0, least(b,1) y0, greatest(c,15) x1, greatest(e,15) y1, a>1 OR b>1 OR c<15 OR e<15 AS lim FROM (SELECT image_id, max(x) a, max(y) b, min(x+w) c, min(y+h) e FROM cp GROUP BY image_id))",
-    cp="SELECT image_id, CAST(y%3 AS BIGINT) AS x, CAST(x%2 AS BIGINT) AS y, CAST(16-image_id%3-y%3 AS BIGINT) AS w, CAST(15-x%2+image_id%2 AS BIGINT) AS h FROM px WHERE x<2"))
+    cp="SELECT image_id, CAST(y%3 AS BIGINT) AS x, CAST(x%2 AS BIGINT) AS y, CAST(16-image_id%3-y%3 AS BIGINT) AS w, CAST(15-x%2+image_id%2 AS BIGINT) AS h FROM px"))
 def crop_area_limit(spark, d):
-    p = fx.px(spark, d).where(C("x") < 2)
+    p = fx.px(spark, d)
     i = C("image_id")
     c = p.select("image_id", (C("y") % 3).cast("long").alias("x"), (C("x") % 2).cast("long").alias("y"), (16 - i % 3 - C("y") % 3).cast("long").alias("w"), (15 - C("x") % 2 + i % 2).cast("long").alias("h"), F.lit(16).alias("width"), F.lit(16).alias("height"))
     return rounded(op.crop_area_limit(c), "area_share")

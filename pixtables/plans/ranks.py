@@ -64,10 +64,10 @@ def forced_candidate_rank(spark, d):
     return op.first_by(c, ["image_id"], [("tier", False), ("failed", False), ("severity", False), ("chain_index", False)], ["label", "severity", "failed"])
 
 
-@query("weakest_passing_strength", with_views("cand", "SELECT image_id, min(st) FILTER (NOT hard_rejected AND morphology_loss<=0.25e0) AS strength, count(*) AS tried FROM (SELECT *, [0.60e0,0.72e0,0.84e0][chain_index+1] AS st FROM ca WHERE chain_index<3) GROUP BY image_id", ca=_CAND))
+@query("weakest_passing_strength", with_views("cand", "SELECT image_id, min(st) FILTER (NOT hard_rejected AND morphology_loss<=0.25e0) AS strength, count(*) AS tried FROM (SELECT *, [0.60e0,0.72e0,0.84e0,0.96e0][chain_index+1] AS st FROM ca) GROUP BY image_id", ca=_CAND))
 def weakest_passing_strength(spark, d):
-    st = F.array(F.lit(0.60), F.lit(0.72), F.lit(0.84))[C("chain_index")]
-    c = candidates(spark, d).where(C("chain_index") < 3).withColumn("st", st)
+    st = F.array(F.lit(0.60), F.lit(0.72), F.lit(0.84), F.lit(0.96))[C("chain_index")]
+    c = candidates(spark, d).withColumn("st", st)
     ok = ~C("hard_rejected") & (C("morphology_loss") <= 0.25)
     return c.groupBy("image_id").agg(F.min(F.when(ok, C("st"))).alias("strength"), F.count("*").alias("tried"))
 

@@ -74,8 +74,8 @@ def device_profile_match(spark, d):
 
 
 def star_rows(spark, d):
-    """Bright pixels of each image as star records."""
-    p = fx.px(spark, d).where(C("r") > 0.8)
+    """Pixels of each image as star records."""
+    p = fx.px(spark, d)
     y, x = C("y"), C("x")
     return p.select("image_id", (y * 16 + x).alias("star_id"), x.cast("double").alias("x"), y.cast("double").alias("y"), (F.floor(y / 8) * 2 + F.floor(x / 8)).cast("int").alias("quadrant"),
                     (C("b") / 10).alias("saturation_fraction"), (F.lit(1.0) + C("g") / 5).alias("aspect_ratio"), C("r").alias("compactness"))

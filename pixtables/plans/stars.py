@@ -72,10 +72,11 @@ def aperture_join(spark, d):
 
 
 @query("star_scale_resolution", with_views("px", f"""SELECT image_id, source, {r6('fwhm')} AS fwhm, samples, priority>0 AS review, CAST(ceil(fwhm*1.5e0) AS INT) AS inner_radius, CAST(ceil(fwhm*3e0) AS INT) AS outer_radius FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY priority) rn FROM (
-  SELECT image_id, priority, concat('s',priority) AS source, median(1.3e0+r*2e0) AS fwhm, count(*) AS samples FROM (SELECT *, CAST((x+y)%3 AS INT) AS priority FROM px WHERE r>0.85 AND (x+y)%3<>0 OR r>0.985) GROUP BY image_id, priority HAVING count(*)>=4)) WHERE rn=1"""))
+  SELECT image_id, priority, concat('s',priority) AS source, median(1.3e0+r*2e0) AS fwhm, count(r) AS samples FROM (SELECT image_id, CAST((x+y)%3 AS INT) AS priority, CASE WHEN r>0.85 AND (x+y)%3<>0 OR r>0.985 THEN r END AS r FROM px) GROUP BY image_id, priority HAVING count(r)>=4)) WHERE rn=1"""))
 def star_scale_resolution(spark, d):
-    p = fx.px(spark, d).withColumn("priority", (C("x") + C("y")) % 3).where(((C("r") > 0.85) & (C("priority") != 0)) | (C("r") > 0.985))
-    s = p.select("image_id", "priority", F.concat(F.lit("s"), C("priority").cast("string")).alias("source"), (F.lit(1.3) + C("r") * 2.0).alias("fwhm"))
+    p = fx.px(spark, d).withColumn("priority", (C("x") + C("y")) % 3)
+    measured = ((C("r") > 0.85) & (C("priority") != 0)) | (C("r") > 0.985)  # other stars have no width
+    s = p.select("image_id", "priority", F.concat(F.lit("s"), C("priority").cast("string")).alias("source"), F.when(measured, F.lit(1.3) + C("r") * 2.0).alias("fwhm"))
     return rounded(op.scale_resolution(s), "fwhm")
 
 

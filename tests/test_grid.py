@@ -78,5 +78,5 @@ def test_spiral_component(spark):
     pic = ["#########", "........#", "#######.#", "#.....#.#", "#.###.#.#", "#.#...#.#", "#.#####.#", "#.......#", "#########", ".........", "#.#......", ".#......#"]
     data = [(1, y, x, pic[y][x] == "#") for y in range(12) for x in range(9)]
     df = spark.createDataFrame(data, "image_id long, y int, x int, on boolean").repartition("image_id")
-    a = components.areas(components.connected_components(df, ["image_id"], C("on"), 9, sweeps=1), ["image_id"])
+    a = components.areas(components.connected_components(df, ["image_id"], C("on"), 9, tile=4), ["image_id"])
     assert sorted(r["area"] for r in a.collect()) == [1, 3, sum(row.count("#") for row in pic[:9])]
