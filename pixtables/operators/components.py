@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import saved
 
@@ -37,7 +38,7 @@ def joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def tile_roots(group: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
+def tile_roots(group: np.ndarray, y: np.ndarray, x: np.ndarray, corners: bool = True) -> np.ndarray:
     """Row of the first pixel (in the order of y, x) of each pixel's component in its group.
 
     Rows are ordered by group, y, x and distinct; y and x lie within a tile.
@@ -45,7 +46,7 @@ def tile_roots(group: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
     side = int(max(y.max(), x.max())) + 2 if len(y) else 1  # one column free, so that lines do not touch
     at = (group * (side + 1) + y) * side + x
     links = []
-    for step in (1, side - 1, side, side + 1):
+    for step in (1, side - 1, side, side + 1) if corners else (1, side):
         to = np.searchsorted(at, at + step)
         to[to == len(at)] = 0
         hit = np.flatnonzero(at[to] == at + step)
@@ -53,7 +54,7 @@ def tile_roots(group: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
     return joined(len(at), np.concatenate([a for a, _ in links]), np.concatenate([b for _, b in links]))
 
 
-def _tiles(tile: int, named: int, out: pa.Schema):
+def _tiles(tile: int, named: int, out: pa.Schema, corners: bool):
     """Sorted mask pixels (keys, ty, tx, y, x, carried) -> the same and ``n``, the number of the component's first pixel."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,7 +62,7 @@ def _tiles(tile: int, named: int, out: pa.Schema):
 
         def labelled(t: pa.Table, first: np.ndarray) -> Iterator[pa.RecordBatch]:
             y, x = (t.column(c).to_numpy().astype(np.int64) for c in ("y", "x"))
-            root = tile_roots(np.cumsum(first) - 1, np.mod(y, tile), np.mod(x, tile))
+            root = tile_roots(np.cumsum(first) - 1, np.mod(y, tile), np.mod(x, tile), corners)
             n = pa.array(y[root] * 2**32 + x[root], pa.int64())
             yield from t.drop_columns(["_ty", "_tx"]).append_column("n", n).select(out.names).cast(out).to_batches(max_chunksize=20_000)
 
@@ -120,8 +121,8 @@ def stars_of(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     return edges
 
 
-def connected_components(grid: DataFrame, keys: Sequence[str], on: Column, width: int | Column, carry: Mapping[str, Column] | None = None, tile: int = TILE) -> DataFrame:
-    """8-neighbour label (smallest ``y*width+x`` of the component) of every mask pixel: keys, y, x, label and the carried columns.
+def connected_components(grid: DataFrame, keys: Sequence[str], on: Column, width: int | Column, carry: Mapping[str, Column] | None = None, tile: int = TILE, corners: bool = True) -> DataFrame:
+    """8-neighbour (without ``corners`` 4-neighbour) label (smallest ``y*width+x`` of the component) of every mask pixel: keys, y, x, label and the carried columns.
 
     Pixels of one image are distinct; images may differ in size, ``width`` may be a column of the grid, and a
     null in ``on`` is no mask.
@@ -129,15 +130,13 @@ def connected_components(grid: DataFrame, keys: Sequence[str], on: Column, width
     keys, carry = list(keys), dict(carry or {})
     px = grid.where(F.coalesce(on, F.lit(False))).select(*keys, F.floor(C("y") / tile).alias("_ty"), F.floor(C("x") / tile).alias("_tx"), "y", "x", *[c.alias(n) for n, c in carry.items()], (F.lit(width) if isinstance(width, int) else width).alias("_width"))
     place = [*keys, "_ty", "_tx"]
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     schema = T.StructType([f for f in px.schema if f.name not in ("_ty", "_tx")] + [T.StructField("n", T.LongType())])
-    named = px.repartition(*[C(c) for c in place]).sortWithinPartitions(*place, "y", "x").mapInArrow(_tiles(tile, len(place), to_arrow_schema(schema)), schema)
+    named = px.repartition(*[C(c) for c in place]).sortWithinPartitions(*place, "y", "x").mapInArrow(_tiles(tile, len(place), to_arrow_schema(schema), corners), schema)
     local = saved(named, "tiles")
     # neighbours across the border of a tile; both lie on it
     edge = lambda c: (C(c) % tile == 0) | (C(c) % tile == tile - 1)
     border = local.where(edge("y") | edge("x")).select(*keys, "y", "x", "n")
-    steps = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((0, 1), (1, -1), (1, 0), (1, 1))]))
+    steps = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((0, 1), (1, 0), *([(1, -1), (1, 1)] if corners else []))]))
     ask = border.select(*keys, "y", "x", C("n").alias("a"), steps.alias("s"))
     ask = ask.select(*keys, "a", C("y").alias("_y"), C("x").alias("_x"), (C("y") + C("s.dy")).alias("y"), (C("x") + C("s.dx")).alias("x"))
     ask = ask.where((F.floor(C("y") / tile) != F.floor(C("_y") / tile)) | (F.floor(C("x") / tile) != F.floor(C("_x") / tile)))

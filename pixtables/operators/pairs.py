@@ -174,21 +174,6 @@ def reference_metrics(grid: DataFrame, key: str = "image_id") -> DataFrame:
     return q.join(s, key).join(a, key).select(key, "saturation", (C("_p95") - C("_p05")).alias("contrast"), "fine_sigma", "coarse_sigma", "black_share", "highlight_share", "extreme_saturation_share")
 
 
-def coverage_grid(grid: DataFrame, side: int, tile: int, noise_ratio: float, chroma_ratio: float, key: str = "image_id") -> DataFrame:
-    """Noise and chroma of each tile against the central tiles; bad tiles reached from the edge are wedges."""
-    d = box_blur(grid, {"l": "_s"}, 1, [key])
-    n = side // tile
-    d = d.withColumns({"ty": F.floor(C("y") / tile), "tx": F.floor(C("x") / tile)})
-    t = robust_sigma(d, [key, "ty", "tx"], {"noise": C("l") - C("_s")}, minimum=1, whole=True)
-    c = d.groupBy(key, "ty", "tx").agg(F.avg(F.greatest("r", "g", "b") - F.least("r", "g", "b")).alias("chroma"))
-    t = t.join(c, [key, "ty", "tx"])
-    central = C("ty").between(n // 4, n - 1 - n // 4) & C("tx").between(n // 4, n - 1 - n // 4)
-    t = with_quantiles(t, [key], [(F.when(central, C("noise_sigma")), {"_rn": 0.5}), (F.when(central, C("chroma")), {"_rc": 0.5})])
-    bad = (C("noise_sigma") > C("_rn") * noise_ratio) | (C("chroma") > C("_rc") * chroma_ratio)
-    edge = (C("ty") == 0) | (C("tx") == 0) | (C("ty") == n - 1) | (C("tx") == n - 1)
-    return t.select(key, "ty", "tx", "noise_sigma", "chroma", bad.alias("bad"), (bad & edge).alias("wedge"))
-
-
 def crop_area_limit(crops: DataFrame, keep_share: float = 0.64, key: str = "image_id") -> DataFrame:
     """Union of crop proposals (x, y, w, h), pulled back to the centred area that must stay.
 

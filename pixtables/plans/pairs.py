@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import pixel as px
 from ..functions.pixel import luminance
-from ..operators import pairs as op
+from ..operators import coverage as cov, pairs as op
 from ..operators.colour import before_after
 from ..operators.quantiles import weighted_quantiles
 from ..sources import fixtures as fx
@@ -179,10 +179,45 @@ def reference_qa(spark, d):
     return rounded(out.withColumn("status", status), "saturation_shrink")
 
 
-@query("field_coverage_grid", with_views("dlum", f"SELECT image_id, ty, tx, {rsel('sg ch','noise_sigma chroma')}, sg>rn*1.3e0 OR ch>rc*1.15e0 AS bad, (sg>rn*1.3e0 OR ch>rc*1.15e0) AND (ty IN (0,3) OR tx IN (0,3)) AS wedge FROM (SELECT *, median(sg) FILTER (ty BETWEEN 1 AND 2 AND tx BETWEEN 1 AND 2) OVER (PARTITION BY image_id) rn, median(ch) FILTER (ty BETWEEN 1 AND 2 AND tx BETWEEN 1 AND 2) OVER (PARTITION BY image_id) rc FROM (SELECT image_id, ty, tx, n_sigma sg, ch FROM sigs JOIN (SELECT image_id, ty, tx, avg(c) ch FROM tl GROUP BY ALL) USING (image_id, ty, tx)))",
-    b1=blur_sql("dlum", "l", 1), tl="SELECT d.image_id, d.y//4 ty, d.x//4 tx, d.l-b1.l AS n, greatest(r,g,b)-least(r,g,b) AS c FROM dlum d JOIN b1 USING (image_id,y,x)", **mad_sql("tl", "image_id, ty, tx", {"n": "n"}, 1)))
+_WEDGE = {
+    "tl": "SELECT image_id, y//2 AS ty, x//2 AS tx, y, x, l, sqrt((r-g)*(r-g)+(b-g)*(b-g)) AS c FROM dlum",
+    "dv": "SELECT a.image_id, a.ty, a.tx, b.l-a.l AS v FROM tl a JOIN tl b ON a.image_id=b.image_id AND a.ty=b.ty AND a.tx=b.tx AND ((b.y=a.y AND b.x=a.x+1) OR (b.x=a.x AND b.y=a.y+1))",
+    "dm": "SELECT image_id, ty, tx, median(v) AS m FROM dv GROUP BY ALL",
+    "dn": "SELECT image_id, ty, tx, median(abs(v-m))/(0.6745e0*sqrt(2e0)) AS noise FROM dv JOIN dm USING (image_id, ty, tx) GROUP BY ALL",
+    "dc": "SELECT image_id, ty, tx, median(c) AS chroma FROM tl GROUP BY ALL",
+    "rf": "SELECT image_id, median(noise) AS rn, median(chroma) AS rc FROM dn JOIN dc USING (image_id, ty, tx) WHERE ty BETWEEN 2 AND 5 AND tx BETWEEN 2 AND 5 GROUP BY image_id",
+    "rt": "SELECT image_id, CAST(ty AS INT) AS ty, CAST(tx AS INT) AS tx, rn>1e-8 AND rc>1e-8 AS fit, CASE WHEN fit THEN noise/rn END AS nr, CASE WHEN fit THEN chroma/rc END AS cr FROM dn JOIN dc USING (image_id, ty, tx) JOIN rf USING (image_id)",
+    "hg": "SELECT *, coalesce(nr>=1.35e0 AND cr>=1.2e0, false) AS hard, coalesce(nr>=1e0+(1.35e0-1e0)*0.34e0 AND cr>=1e0+(1.2e0-1e0)*0.4e0, false) AS grow FROM rt",
+    "fw(image_id, ty, tx)": "SELECT image_id, ty, tx FROM hg WHERE hard AND (ty IN (0,7) OR tx IN (0,7)) UNION SELECT g.image_id, g.ty, g.tx FROM fw f JOIN hg g ON g.image_id=f.image_id AND abs(g.ty-f.ty)+abs(g.tx-f.tx)=1 WHERE g.grow",
+    "cn": "SELECT hg.*, fw.ty IS NOT NULL AS connected FROM hg LEFT JOIN fw USING (image_id, ty, tx)",
+}
+
+
+def _flood(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1).replace("fw(image_id, ty, tx) AS MATERIALIZED", "fw(image_id, ty, tx) AS")
+
+
+def coverage(spark, d):
+    return cov.coverage_tiles(fx.dlum(spark, d), tile=2, least_side=16, least_tiles=8, least_differences=4)
+
+
+@query("field_coverage_grid", _flood(with_views("dlum", f"SELECT image_id, ty, tx, {rsel('nr cr','noise_ratio chroma_ratio')}, hard, grow, connected FROM cn", **_WEDGE)))
 def field_coverage_grid(spark, d):
-    return rounded(op.coverage_grid(fx.dlum(spark, d), 16, 4, 1.3, 1.15), "noise_sigma", "chroma")
+    return rounded(coverage(spark, d).select("image_id", "ty", "tx", "noise_ratio", "chroma_ratio", "hard", "grow", "connected"), "noise_ratio", "chroma_ratio")
+
+
+@query("field_rotation_crop", _flood(with_views("dlum", f"""SELECT image_id, reason, reason LIKE '%confirmed' AS accepted, CASE WHEN accepted THEN CAST(2*x0 AS INT) END AS x, CASE WHEN accepted THEN CAST(2*y0 AS INT) END AS y, CASE WHEN accepted THEN CAST(2*rw AS INT) END AS width, CASE WHEN accepted THEN CAST(2*rh AS INT) END AS height,
+  CASE WHEN accepted THEN {r6('rw*rh/64e0')} END AS kept, hard_tiles, connected_tiles, corners, sides, {rsel('n90 c90','noise_p90 chroma_p90')} FROM (SELECT *, CASE WHEN NOT fit THEN 'coverage_reference_unavailable' WHEN connected_tiles<4 THEN 'no_significant_edge_connected_coverage_anomaly'
+  WHEN corners<3 OR sides<3 THEN 'edge_connected_anomaly_lacks_corner_wedge_geometry' WHEN rw IS NULL THEN 'no_coverage_interior_rectangle' ELSE 'edge_connected_field_rotation_confirmed' END AS reason
+  FROM (SELECT image_id, bool_and(fit) AS fit, count(*) FILTER (hard) AS hard_tiles, count(*) FILTER (connected) AS connected_tiles,
+    CAST(bool_or(connected AND ty<2 AND tx<2)::INT+bool_or(connected AND ty<2 AND tx>5)::INT+bool_or(connected AND ty>5 AND tx<2)::INT+bool_or(connected AND ty>5 AND tx>5)::INT AS INT) AS corners,
+    CAST(bool_or(connected AND ty=0)::INT+bool_or(connected AND ty=7)::INT+bool_or(connected AND tx=0)::INT+bool_or(connected AND tx=7)::INT AS INT) AS sides FROM cn GROUP BY image_id)
+  LEFT JOIN bd USING (image_id) LEFT JOIN best USING (image_id))""", **_WEDGE,
+  bd="SELECT image_id, quantile_cont(nr,0.9) AS n90, quantile_cont(cr,0.9) AS c90 FROM (SELECT image_id, nr, cr FROM cn WHERE ty IN (0,7) UNION ALL SELECT image_id, nr, cr FROM cn WHERE tx IN (0,7)) GROUP BY image_id",
+  rc="SELECT i.image_id, x0, y0, x1-x0+1 AS rw, y1-y0+1 AS rh FROM (SELECT DISTINCT image_id FROM cn) i, range(8) a(y0), range(8) b(y1), range(8) c(x0), range(8) e(x1) WHERE y0<=y1 AND x0<=x1",
+  best="SELECT image_id, x0, y0, rw, rh FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY rw*rh DESC, x0, y0, rw, rh) AS rank FROM rc WHERE NOT EXISTS (SELECT 1 FROM cn WHERE cn.image_id=rc.image_id AND connected AND ty BETWEEN y0 AND y0+rh-1 AND tx BETWEEN x0 AND x0+rw-1)) WHERE rank=1")))
+def field_rotation_crop(spark, d):
+    return rounded(cov.rotation_crop(coverage(spark, d)), "kept", "noise_p90", "chroma_p90")
 
 
 @query("crop_area_limit", with_views("px", f"SELECT image_id, x0, y0, x1-x0 AS w, y1-y0 AS h, {r6('(x1-x0)*(y1-y0)/256e0')} AS area_share, lim AS limited FROM (SELECT image_id, least(a,1) x0, least(b,1) y0, greatest(c,15) x1, greatest(e,15) y1, a>1 OR b>1 OR c<15 OR e<15 AS lim FROM (SELECT image_id, max(x) a, max(y) b, min(x+w) c, min(y+h) e FROM cp GROUP BY image_id))",
