@@ -13,6 +13,8 @@ on to the end of that run and the chunks inside it are empty: no text is cut els
 from __future__ import annotations
 
 import base64
+import ctypes
+import gc
 import hashlib
 import re
 from collections.abc import Iterator
@@ -22,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 CHUNK = 65_536  # code points
+_held: list[tuple[str, str]] = []  # the vocabulary that this worker encodes with
 _SYNC = re.compile(r"[^\W_](?=[ \n])")
 
 
@@ -42,14 +45,14 @@ def ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)  # a worker that goes on with another vocabulary drops the one before
 def encoding(path: str, pattern: str):
     import tiktoken
 
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks(path), special_tokens={})
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def id_bytes(path: str) -> list[bytes]:
     known = ranks(path)
     out = [b""] * (max(known.values()) + 1)
@@ -114,6 +117,16 @@ def _joiner():
     return join
 
 
+def give_back() -> None:
+    """Return to the machine what earlier stages freed in this reused worker process."""
+    encoding.cache_clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+    if trim is not None:
+        trim(0)
+
+
 def coded(text: Column, path: str | None = None, pattern: str | None = None, size: int = CHUNK) -> Column:
     """struct<ids: binary, decoded_sha256: string> of a text, null counting as empty: encoded by chunks and decoded in one
     evaluation, so that a task needs one Python worker with one vocabulary. The chunks of one text are not spread."""
@@ -123,6 +136,9 @@ def coded(text: Column, path: str | None = None, pattern: str | None = None, siz
 
     @F.arrow_udf("struct<ids: binary, decoded_sha256: string>")
     def both(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        if not encoding.cache_info().currsize or (path, pattern) not in _held:
+            give_back()
+            _held[:] = [(path, pattern)]
         enc, table = encoding(path, pattern), id_bytes(path).__getitem__
         for x in it:
             ids, digests = [], []
