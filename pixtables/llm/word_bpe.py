@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 SLICE = 1 << 20  # bytes of a text split into words at a time
-GROUP = 3 << 20  # bytes whose new words share one index
-KNOWN = 150_000  # words of a generation; a worker keeps the ids of the last two, which changes no id
+GROUP = 4 << 20  # bytes whose new words share one index
+KNOWN = 400_000  # words whose ids a worker keeps; the memory is then started anew, ids do not change
 _SPACE = re.compile(rb"[\x09-\x0D ]")
 _PLAIN = re.compile(r"[!-~]+")
 _PLAIN_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")  # the vocabulary's own pattern on U+0021..U+007E
@@ -156,7 +156,6 @@ class Encoder:
         self.normal, self.split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.merges.special, key=len, reverse=True))) + ")") if self.merges.special else None
         self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
 
     def pieces(self, word: str) -> list[str]:
         """Pre-tokens of one word in the vocabulary's letters; a special token is a piece of its own."""
@@ -186,12 +185,9 @@ class Encoder:
 
         def flush() -> None:
             if len(self.known) > KNOWN:
-                self.known, self.older = {}, self.known
+                self.known.clear()
             lists = [(row, s.split()) for row, s in held]
-            fresh = {w for _, ws in lists for w in ws} - self.known.keys()
-            again = fresh & self.older.keys()
-            self.known.update((w, self.older[w]) for w in again)
-            self.learn(fresh - again)
+            self.learn({w for _, ws in lists for w in ws} - self.known.keys())
             for row, ws in lists:
                 out[row].append(b"".join(map(self.known.__getitem__, ws)))
             held.clear()
