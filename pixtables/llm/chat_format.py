@@ -46,11 +46,23 @@ def fold(events: DataFrame) -> DataFrame:
     return m.select("conv_id", "turn", "part", "role", F.array_join(last, "").alias("text"))
 
 
-def render(messages: DataFrame) -> DataFrame:
-    """conv_id, formatted: one row per conversation, turns in the order of (turn, part). A null role is an empty one."""
-    turn = F.struct("turn", "part", F.coalesce(F.col("role"), F.lit("")).alias("role"), F.col("text").alias("text"))
-    one = lambda x: F.concat(F.lit("<s>[INST] "), escape(x["role"]), F.lit(" [/INST]"), escape(x["text"]), F.lit("</s>"))
-    return messages.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("_m")).select("conv_id", F.array_join(F.transform("_m", one), "").alias("formatted"))
+def render(messages: DataFrame, role: str = "assistant") -> DataFrame:
+    """conv_id, formatted, spans: one row per conversation, turns in the order of (turn, part). A null role is an empty one.
+
+    spans is the loss mask: for each text of ``role`` its [start, end) in code points of formatted, and
+    the same place in bytes of its UTF-8 form (from, to), an empty array where there is no such text.
+    """
+    m = messages.select("conv_id", "turn", "part", F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    m = m.withColumn("_h", F.concat(F.lit("<s>[INST] "), escape(F.col("role")), F.lit(" [/INST]"))).withColumn("_b", escape(F.col("text")))
+    before = Window.partitionBy("conv_id").orderBy("turn", "part", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    at = lambda size: F.coalesce(F.sum(size("_h") + size("_b") + 4).over(before), F.lit(0)).cast("long") + size("_h")
+    m = m.withColumn("_start", at(F.length)).withColumn("_from", at(F.octet_length))
+    span = F.when(F.col("role") == role, F.struct(F.col("_start").alias("start"), (F.col("_start") + F.length("_b")).alias("end"), F.col("_from").alias("from"), (F.col("_from") + F.octet_length("_b")).alias("to")))
+    turn = F.struct("_start", "_h", "_b", span.alias("s"))
+    whole = m.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("_m"))
+    return whole.select(
+        "conv_id", F.array_join(F.transform("_m", lambda x: F.concat(x["_h"], x["_b"], F.lit("</s>"))), "").alias("formatted"),
+        F.transform(F.filter("_m", lambda x: x["s"].isNotNull()), lambda x: x["s"]).alias("spans"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -59,28 +71,29 @@ def read_back(formatted: DataFrame) -> DataFrame:
     return formatted.select("conv_id", "formatted", part(1).alias("roles"), part(2).alias("texts"))
 
 
-def loss_spans(formatted: DataFrame, role: str = "assistant") -> DataFrame:
-    """conv_id, formatted, spans: [start, end) in code points of the output that the loss covers."""
-    heads = F.regexp_extract_all("formatted", F.lit(r"(?s)(<s>\[INST\] .*? \[/INST\]).*?</s>"), F.lit(1))
-    bodies = F.regexp_extract_all("formatted", F.lit(TURN), F.lit(2))
-    row = formatted.select("conv_id", "formatted", F.arrays_zip(heads.alias("h"), bodies.alias("b")).alias("_z"))
-    walk = F.aggregate(
-        "_z", F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,end:long>>").alias("s")),
-        lambda a, x: F.struct(
-            (a["at"] + F.length(x["h"]) + F.length(x["b"]) + 4).alias("at"),
-            F.when(x["h"] == f"<s>[INST] {role} [/INST]", F.concat(a["s"], F.array(F.struct((a["at"] + F.length(x["h"])).alias("start"), (a["at"] + F.length(x["h"]) + F.length(x["b"])).alias("end"))))).otherwise(a["s"]).alias("s"),
-        ),
-    )
-    return row.select("conv_id", "formatted", walk["s"].alias("spans"))
-
-
-def digests(formatted: DataFrame, role: str = "assistant") -> DataFrame:
-    """n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars per conversation, from the output alone."""
-    back = read_back(formatted).select("*", F.explode(F.array(F.arrays_zip(F.col("roles").alias("r"), F.col("texts").alias("t")))).alias("_z"))
+def loss_spans(formatted: DataFrame) -> DataFrame:
+    """conv_id, formatted, spans of rendered conversations."""
+    return formatted.select("conv_id", "formatted", "spans")
+
+
+def loss_texts() -> Column:
+    """What the loss mask of a rendered conversation covers, cut from the output and unescaped, in order."""
+    raw = F.col("formatted").cast("binary")
+    return F.transform("spans", lambda s: unescape(F.substring(raw, (s["from"] + 1).cast("int"), (s["to"] - s["from"]).cast("int")).cast("string")))
+
+
+def digests(formatted: DataFrame) -> DataFrame:
+    """n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars per conversation.
+
+    Turns are read back by the marks of the output, the loss by its mask.
+    """
+    part = lambda g: F.transform(F.regexp_extract_all("formatted", F.lit(TURN), F.lit(g)), unescape)
+    turns = F.arrays_zip(part(1).alias("r"), part(2).alias("t"))
     whole = F.array_join(F.transform("_z", lambda x: F.concat(x["r"], F.lit("\n"), x["t"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("_z", lambda x: x["r"] == role), lambda x: x["t"]), "")
-    return back.select("conv_id", F.size("_z").cast("long").alias("n_turns"), whole.alias("_a"), loss.alias("_b"), F.length("formatted").cast("long").alias("formatted_chars")).select(
-        "conv_id", "n_turns", F.sha2("_a", 256).alias("turns_sha256"), F.length("_b").cast("long").alias("loss_chars"), F.sha2("_b", 256).alias("loss_sha256"), "formatted_chars")
+    # the one-element generator computes each of the two texts once for its length and its digest
+    row = formatted.select("conv_id", "formatted", loss_texts().alias("_l"), F.explode(F.array(turns)).alias("_z"))
+    row = row.select("conv_id", F.size("_z").cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"), F.explode(F.array(F.array_join("_l", ""))).alias("_b"), F.length("formatted").cast("long").alias("formatted_chars"))
+    return row.select("conv_id", "n_turns", "turns_sha256", F.length("_b").cast("long").alias("loss_chars"), F.sha2("_b", 256).alias("loss_sha256"), "formatted_chars")
 
 
 def as_events(conversations: DataFrame) -> DataFrame:
@@ -89,5 +102,5 @@ def as_events(conversations: DataFrame) -> DataFrame:
 
 
 def chat_format(events: DataFrame) -> DataFrame:
-    """conv_id and formatted for an event log. An empty log gives no rows; null conv_ids form one conversation."""
+    """conv_id, formatted and its loss mask for an event log. An empty log gives no rows; null conv_ids form one conversation."""
     return render(fold(events))

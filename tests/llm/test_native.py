@@ -80,6 +80,19 @@ def test_template_is_reversible(spark, text):
     assert d.loss_sha256 == hashlib.sha256(text.encode()).hexdigest() and d.loss_chars == len(text) and d.formatted_chars == len(r.formatted)
 
 
+def test_loss_is_what_the_mask_covers(spark):
+    """A moved mask moves the loss; wide characters count once in code points."""
+    m = [(1, 0, 0, "message", "user", "é\U0001f600"), (1, 1, 1, "message", "assistant", "中</s>"), (1, 2, 2, "message", "tool", "é"), (1, 3, 3, "message", "assistant", None), (1, 3, 4, "message", "assistant", "zü"), (2, 0, 0, "message", "user", "x")]
+    out = chat_format.chat_format(spark.createDataFrame(m, "conv_id long, turn int, seq long, kind string, role string, text string")).cache()
+    r = {x.conv_id: x for x in out.collect()}
+    assert [r[1].formatted[s.start : s.end] for s in r[1].spans] == ["中<\\/s>", "", "zü"] and r[2].spans == []
+    assert [r[1].formatted.encode()[s["from"] : s.to].decode() for s in r[1].spans] == ["中<\\/s>", "", "zü"]
+    d = {x.conv_id: x for x in chat_format.digests(out).collect()}
+    assert (d[1].loss_chars, d[1].loss_sha256) == (7, hashlib.sha256("中</s>zü".encode()).hexdigest()) and d[2].loss_chars == 0
+    user = chat_format.render(chat_format.fold(spark.createDataFrame(m, "conv_id long, turn int, seq long, kind string, role string, text string")), role="user")
+    assert {x.conv_id: x.loss_chars for x in chat_format.digests(user).collect()} == {1: 2, 2: 1}
+
+
 def chat_format_back(spark, s):
     return spark.createDataFrame([(s,)], "x string").select(chat_format.unescape(F.col("x"))).first()[0]
 
