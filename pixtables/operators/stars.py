@@ -241,14 +241,16 @@ def star_ratio_stats(stars: DataFrame, keys: Sequence[str]) -> DataFrame:
     return q.select(*keys, C("n_mad_rg").alias("samples"), "center_rg", "center_bg", "mad_rg", "mad_bg", F.greatest("mad_rg", "mad_bg").alias("max_mad"), "neutral_error")
 
 
-def sigma_clip(stars: DataFrame, keys: Sequence[str], rounds: int = 3, minimum: int = 12) -> DataFrame:
-    """Up to three rounds of 2.5 sigma on rg and bg; a group stops when stable or under ``minimum``."""
+def sigma_clip(stars: DataFrame, keys: Sequence[str], rounds: int = 3, minimum: int = 12, whole: bool | None = None) -> DataFrame:
+    """Up to three rounds of 2.5 sigma on rg and bg; a group stops when stable or under ``minimum``.
+
+    ``whole`` as in ``quantiles``, for groups of a bounded size."""
     keys = list(keys)
     d = stars.withColumn("in", F.lit(True))
     for _ in range(rounds):
         v = lambda c: F.when(C("in"), C(c))
-        d = with_quantiles(d, keys, [(v("rg"), {"_mr": 0.5}), (v("bg"), {"_mb": 0.5})]).withColumnRenamed("n__mr", "_n").drop("n__mb")
-        d = with_quantiles(d, keys, [(F.abs(v("rg") - C("_mr")), {"_sr": 0.5}), (F.abs(v("bg") - C("_mb")), {"_sb": 0.5})]).drop("n__sr", "n__sb")
+        d = with_quantiles(d, keys, [(v("rg"), {"_mr": 0.5}), (v("bg"), {"_mb": 0.5})], whole).withColumnRenamed("n__mr", "_n").drop("n__mb")
+        d = with_quantiles(d, keys, [(F.abs(v("rg") - C("_mr")), {"_sr": 0.5}), (F.abs(v("bg") - C("_mb")), {"_sb": 0.5})], whole).drop("n__sr", "n__sb")
         lim = lambda s: F.lit(2.5) * F.greatest(F.lit(1.4826) * C(s), F.lit(0.01))
         keep = (F.abs(C("rg") - C("_mr")) <= lim("_sr")) & (F.abs(C("bg") - C("_mb")) <= lim("_sb"))
         # a stable group keeps everything, so running the round again changes nothing

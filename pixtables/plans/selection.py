@@ -160,11 +160,6 @@ def opponent_slope_projection(spark, d):
     return rounded(op.opponent_slope(m, g, 16), "r", "g", "b")
 
 
-@query("auto_reference")
-def auto_reference(spark, d):
-    return op.auto_reference(fx.dlum(spark, d), 4, 16)
-
-
 @query("grouped_kernels", with_views("lum", f"SELECT image_id, {r6('l_sigma')} AS sigma, 3::BIGINT AS segments FROM sigs", **mad_sql("lum", "image_id", {"l": "l"})))
 def grouped_kernels(spark, d):
     op.register_functions(spark)
