@@ -7,6 +7,7 @@ from ..functions.pixel import luminance
 from ..operators import background as bg
 from ..operators import colour as col
 from ..operators import evidence as ev
+from ..operators import sampling
 from ..operators import selection as op
 from ..operators.quantiles import quantiles
 from ..sources import fixtures as fx
@@ -167,3 +168,18 @@ def grouped_kernels(spark, d):
     s = spark.sql("SELECT image_id, robust_sigma(l) AS sigma FROM pixtables_lum GROUP BY image_id")
     seg = spark.sql("SELECT count(*) AS segments, 1 AS one FROM curve_segments(array(0D, 0.3D, 0.7D, 1D), array(0D, 0.2D, 0.8D, 1D))")
     return rounded(s.withColumn("one", F.lit(1)).join(seg, "one").drop("one"), "sigma")
+
+
+def _safe(spark, d):
+    # images of 16 x 16 pixels: patches of 2 pixels around the centre, and as few samples as the rule allows
+    return sampling.safe_background_samples(fx.dlum(spark, d), target=16, least=12, radius=2, least_radius=2)
+
+
+@query("safe_background_samples")
+def safe_background_samples(spark, d):
+    return rounded(_safe(spark, d)[0], "median", "texture", "star_excess", "residual", "risk")
+
+
+@query("safe_background_report")
+def safe_background_report(spark, d):
+    return rounded(_safe(spark, d)[1], "x_span", "y_span", "usable_sky", "source_share", "star_share", "low_limit", "bright_limit", "residual_low", "residual_high", "texture_limit", "star_limit")
