@@ -67,7 +67,6 @@ def clipped_surface(rows: DataFrame, rounds: int, low: float, high: float, least
             F.count("*").alias("_n"), F.array(*[F.sum(_monomial(a, b)) for a, b in _SUMS]).alias("_s"), F.array(*[F.sum(C("v") * _monomial(a, b)) for a, b in _TERMS]).alias("_r"))
         fit = sums.where(C("_n") >= least).select(key, F.arrow_udf(_solved, "array<double>")("_s", "_r").alias("coef"))
         if i + 1 < rounds:
-            fit = saved(fit, "surface")
             r = d.join(fit, key).select(key, "floor", (C("v") - surface()).alias("_e"))
             r = with_quantiles(r, [key], [(C("_e"), {"_m": 0.5})])
             r = quantiles(r, [key], [(F.abs(C("_e") - C("_m")), {"_mad": 0.5}), (C("_m"), {"_c": 0.0}), (C("floor"), {"_f": 0.0})])

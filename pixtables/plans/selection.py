@@ -170,16 +170,10 @@ def grouped_kernels(spark, d):
     return rounded(s.withColumn("one", F.lit(1)).join(seg, "one").drop("one"), "sigma")
 
 
-def _safe(spark, d):
-    # images of 16 x 16 pixels: patches of 2 pixels around the centre, and as few samples as the rule allows
-    return sampling.safe_background_samples(fx.dlum(spark, d), target=16, least=12, radius=2, least_radius=2)
-
-
 @query("safe_background_samples")
 def safe_background_samples(spark, d):
-    return rounded(_safe(spark, d)[0], "median", "texture", "star_excess", "residual", "risk")
-
-
-@query("safe_background_report")
-def safe_background_report(spark, d):
-    return rounded(_safe(spark, d)[1], "x_span", "y_span", "usable_sky", "source_share", "star_share", "low_limit", "bright_limit", "residual_low", "residual_high", "texture_limit", "star_limit")
+    # images of 16 x 16 pixels: patches of 2 pixels to each side, and as few samples as the rule allows
+    chosen, report = sampling.safe_background_samples(fx.dlum(spark, d), target=16, least=12, radius=2, least_radius=2)
+    # each image has a row, those without a sample too
+    out = report.withColumnRenamed("refined", "may_walk").join(chosen, "image_id", "left")
+    return rounded(out, "median", "texture", "star_excess", "residual", "risk", "x_span", "y_span", "usable_sky", "source_share", "star_share", "low_limit", "bright_limit", "residual_low", "residual_high", "texture_limit", "star_limit")
