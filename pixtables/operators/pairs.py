@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions import pixel as px
 from ..functions.fixed import clamp
 from .grid import box_blur
-from .quantiles import quantiles, robust_sigma, weighted_quantiles, with_quantiles, with_stats
+from .quantiles import correlation, quantiles, robust_sigma, weighted_quantiles, with_quantiles, with_stats
 
 C = F.col
 
@@ -102,7 +102,7 @@ def weak_chroma(grid: DataFrame, side: int, key: str = "image_id") -> DataFrame:
     a = d.groupBy(key).agg(
         F.count_if(sub).alias("support"), bits(cell).alias("cells"), bits(quad).alias("quadrants"),
         (F.avg(F.when(sub, C("_o1") * C("_o1"))) / F.greatest(F.avg(F.when(bg, C("_o1") * C("_o1"))), F.lit(1e-12))).alias("energy_ratio"),
-        F.corr(F.when(sub, C("_o1")), F.when(sub, C("_o2"))).alias("scale_corr"), F.avg(F.when(sub, C("_o1"))).alias("_ms"), F.avg(F.when(bg, C("_o1"))).alias("_mb"))
+        correlation(F.when(sub, C("_o1")), F.when(sub, C("_o2"))).alias("scale_corr"), F.avg(F.when(sub, C("_o1"))).alias("_ms"), F.avg(F.when(bg, C("_o1"))).alias("_mb"))
     s = robust_sigma(d, [key], {"bg": F.when(bg, C("_o") - C("_o1"))}, minimum=1)
     o = a.join(s, key).withColumn("snr", (C("_ms") - C("_mb")) / F.greatest(C("bg_sigma"), F.lit(1e-9)))
     ok = (C("support") >= 16) & (C("cells") >= 3) & (C("quadrants") >= 2) & (C("energy_ratio") >= 1.2) & (C("scale_corr") >= 0.5)
@@ -159,7 +159,7 @@ def target_local(pair: DataFrame, key: str = "image_id") -> DataFrame:
 
 def structure_correlation(pair: DataFrame, key: str = "image_id") -> DataFrame:
     d = box_blur(pair, {"l": "_s", "l2": "_s2"}, 2, [key]).where(C("subject") > 0.25)
-    return d.groupBy(key).agg(F.count("*").alias("pixels"), F.corr(C("l") - C("_s"), C("l2") - C("_s2")).alias("correlation"))
+    return d.groupBy(key).agg(F.count("*").alias("pixels"), correlation(C("l") - C("_s"), C("l2") - C("_s2")).alias("correlation"))
 
 
 def reference_metrics(grid: DataFrame, key: str = "image_id") -> DataFrame:
@@ -198,7 +198,7 @@ def signal_preservation(pair: DataFrame, side: int, key: str = "image_id") -> Da
     s = lambda m, e: F.sum(F.when(m, e))
     a = d.groupBy(key).agg(
         F.count_if(tgt).alias("pixels"), s(tgt, f0).alias("_f0"), s(tgt, f1).alias("_f1"), s(core, f0).alias("_c0"), s(core, f1).alias("_c1"), s(tgt & ~core, f0).alias("_n0"), s(tgt & ~core, f1).alias("_n1"),
-        F.corr(F.when(tgt, C("l")), F.when(tgt, C("l2"))).alias("morphology"), F.stddev_pop(F.when(tgt, f1 - f0)).alias("_st"), F.max("_sd").alias("_sd"),
+        correlation(F.when(tgt, C("l")), F.when(tgt, C("l2"))).alias("morphology"), F.stddev_pop(F.when(tgt, f1 - f0)).alias("_st"), F.max("_sd").alias("_sd"),
         s(tgt, f0 * C("x")).alias("_x0"), s(tgt, f1 * C("x")).alias("_x1"), s(tgt, f0 * C("y")).alias("_y0"), s(tgt, f1 * C("y")).alias("_y1"))
     r = lambda a_, b_: C(b_) / F.greatest(C(a_), F.lit(1e-9))
     dx, dy = C("_x1") / C("_f1") - C("_x0") / C("_f0"), C("_y1") / C("_f1") - C("_y0") / C("_f0")

@@ -10,7 +10,7 @@ from ..functions.fixed import clamp
 from ..session import cut
 from .background import plane_fit
 from .grid import box_blur, morph
-from .quantiles import quantiles, robust_sigma, with_quantiles, with_stats
+from .quantiles import correlation, quantiles, robust_sigma, with_quantiles, with_stats
 from .stars import aperture_join
 
 C = F.col
@@ -232,7 +232,7 @@ def opponent_slope(patches: DataFrame, pix: DataFrame, side: int, key: str = "im
         fit = fit.select(key, *[C(f"{c}_{n}") for n in ("level", "slope_x", "slope_y", "sigma")])
         held = patches.where(C("split") == "validation").join(fit, key)
         pred = C(f"{c}_slope_x") * x + C(f"{c}_slope_y") * y
-        h = held.withColumns({"_p": pred, "_v": C(c)}).groupBy(key).agg(F.corr("_p", "_v").alias("_r"), F.stddev_pop("_v").alias("_s0"), F.stddev_pop(C("_v") - C("_p")).alias("_s1"))
+        h = held.withColumns({"_p": pred, "_v": C(c)}).groupBy(key).agg(correlation(C("_p"), C("_v")).alias("_r"), F.stddev_pop("_v").alias("_s0"), F.stddev_pop(C("_v") - C("_p")).alias("_s1"))
         ok = (C(f"{c}_sigma") > 3.0) & (C("_r") >= 0.70) & (C("_s1") <= C("_s0") * 0.85)
         sel = fit.join(h, key, "left").select(key, *[F.when(F.coalesce(ok, F.lit(False)), C(f"{c}_{n}")).otherwise(F.lit(0.0)).alias(f"{c}_{n}") for n in ("slope_x", "slope_y")], F.coalesce(ok, F.lit(False)).alias(f"{c}_selected"))
         parts = sel if parts is None else parts.join(sel, key)

@@ -89,3 +89,20 @@ def test_stack_keeps_targets_apart(spark):
         one = pairs.sigma_rejection_stack(df.where(F.col("target") == t).drop("target"))
         key = lambda d: sorted((r.y, r.x, round(r.value, 9), r.frames, r.rejected) for r in d.collect())
         assert key(both.where(F.col("target") == t)) == key(one)
+
+
+def test_correlation_of_a_side_that_does_not_vary(spark):
+    from pixtables.operators.quantiles import correlation
+
+    rows = [(1, float(i), 2.0 * i) for i in range(5)] + [(2, 3.0, float(i)) for i in range(5)] + [(3, 1.0, 2.0), (4, None, 1.0), (5, 1.0, 5.0), (5, 2.0, None), (5, 3.0, 1.0)]
+    df = spark.createDataFrame(rows, "g long, a double, b double")
+    got = {r.g: r.c for r in df.groupBy("g").agg(correlation(F.col("a"), F.col("b")).alias("c")).collect()}
+    assert abs(got.pop(1) - 1.0) < 1e-12 and abs(got.pop(5) + 1.0) < 1e-12 and got == {2: None, 3: None, 4: None}
+
+
+def test_slope_of_held_out_points_that_are_all_alike(spark):
+    points = [(1, i, "fit", i // 4, i % 4, 0.5, 0.01 * (i % 4)) for i in range(16)] + [(1, 20 + i, "validation", i, 2, 0.5, 0.02) for i in range(4)]
+    patches = spark.createDataFrame(points, "image_id long, point_id long, split string, py int, px int, rg double, bg double")
+    pix = spark.createDataFrame([(1, 0, 0, 0.5, 0.4, 0.3)], "image_id long, y int, x int, r double, g double, b double")
+    got = selection.opponent_slope(patches, pix, 16).first()
+    assert (got.r, got.rg_selected, got.bg_selected) == (0.5, False, False)
