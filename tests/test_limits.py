@@ -106,3 +106,16 @@ def test_slope_of_held_out_points_that_are_all_alike(spark):
     pix = spark.createDataFrame([(1, 0, 0, 0.5, 0.4, 0.3)], "image_id long, y int, x int, r double, g double, b double")
     got = selection.opponent_slope(patches, pix, 16).first()
     assert (got.r, got.rg_selected, got.bg_selected) == (0.5, False, False)
+
+
+def test_tables_of_pixels_are_not_broadcast_by_their_file_size(spark, sf):
+    from pixtables import session
+    from pixtables.operators import background
+    from pixtables.sources import fixtures as fx
+
+    many = spark.range(1, 3 * session._TASK_ROWS)
+    assert (session.tasks_for(many), session.tasks_for(many.limit(0)), session.tasks_for(many.limit(9))) == (3, 1, 1)
+    cells = background.patch_join(fx.points(spark, sf), fx.dlum(spark, sf), 3)
+    plan = cells._jdf.queryExecution().executedPlan().toString()
+    session.configure(spark)
+    assert "BroadcastExchange" not in plan and spark.conf.get("spark.sql.autoBroadcastJoinThreshold") != "-1"
