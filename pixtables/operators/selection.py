@@ -1,13 +1,16 @@
 """Sample selection and grouped kernels: the few steps that are sequential within one image."""
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import pixel as px
 from ..functions.fixed import clamp
-from ..session import cut
+from ..session import cut, images_fit
 from .background import plane_fit
 from .grid import box_blur, morph
 from .quantiles import correlation, quantiles, robust_sigma, with_quantiles, with_stats
@@ -17,8 +20,67 @@ C = F.col
 
 
 # ---- spread of points ---------------------------------------------------------
-# The greedy rules below take one point of every image per round: an argmax per image as an
-# aggregate, then one distance update. Rounds are as many as the largest image takes points.
+# The greedy rules below take one point of an image after the other. Where the session declares that an image is small
+# (see quantiles), its points are one row of arrays and nothing is written; otherwise every image takes one point per
+# round: an argmax per image as an aggregate, then one distance update, as many rounds as the largest image takes points.
+def _lists(a: pa.Array) -> list[np.ndarray]:
+    """The lists of an array as numpy arrays, null as NaN."""
+    ends = np.cumsum(a.value_lengths().to_numpy())
+    return np.split(a.flatten().to_numpy(zero_copy_only=False), ends)[: len(a)]
+
+
+def _same(a: pa.Array) -> pa.Array:
+    """Lists of identities as lists of numbers, equal where the identities are; null: -1."""
+    codes = a.flatten().dictionary_encode().indices.fill_null(-1).cast(pa.int64())
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(a.value_lengths().to_numpy())]).astype(np.int32)), codes)
+
+
+def _flags(found: list[np.ndarray]) -> pa.Array:
+    return pa.array([f.tolist() for f in found], pa.list_(pa.bool_()))
+
+
+def _farthest(cap: int):
+    def taken(it: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for ids, us, vs, nears, ins in it:
+            found = []
+            for i, u, v, near, held in zip(_lists(_same(ids)), _lists(us), _lists(vs), _lists(nears), _lists(ins)):
+                near, held = near.astype(float), held.astype(bool)
+                while held.sum() < cap and not held.all():
+                    # unknown distances come first, as nulls do in an order; equal ones by place in the list
+                    b = np.argmax(np.where(held, -np.inf, np.where(np.isnan(near), np.inf, near)))
+                    far = (u - u[b]) * (u - u[b]) + (v - v[b]) * (v - v[b])
+                    now, closer = held | ((i == i[b]) & (i[b] >= 0)), np.fmin(near, far)
+                    if (now == held).all() and np.array_equal(closer, near, equal_nan=True):
+                        break
+                    near, held = closer, now
+                found.append(held)
+            yield _flags(found)
+
+    return F.arrow_udf(taken, "array<boolean>")
+
+
+def _held_out(it: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for ids, xs, ys, quadrants, sizes, wants in it:
+        found = []
+        for i, x, y, q, size, want in zip(_lists(_same(ids)), _lists(xs), _lists(ys), _lists(quadrants), _lists(sizes), wants.to_numpy(zero_copy_only=False)):
+            _, q = np.unique(q, return_inverse=True)
+            held, near = np.zeros(len(i), bool), np.full(len(i), np.inf)
+            while held.sum() < want:
+                used = np.bincount(q, held)[q]
+                free = ~held & (used < size - 1)
+                if not free.any():
+                    break
+                free &= (used > 0) == (used[free] > 0).min()
+                b = np.argmax(np.where(free, near, -np.inf))
+                far = np.sqrt((x - x[b]) * (x - x[b]) + (y - y[b]) * (y - y[b]))
+                now, closer = held | ((i == i[b]) & (i[b] >= 0)), np.fmin(near, far)
+                if (now == held).all() and np.array_equal(closer, near):
+                    break
+                held, near = now, closer
+            found.append(held)
+        yield _flags(found)
+
+
 def star_record_selection(stars: DataFrame, cap: int, key: str = "image_id") -> DataFrame:
     """Best shape per quadrant first, then the star farthest from all taken, up to ``cap`` stars per image.
 
@@ -35,7 +97,13 @@ def star_record_selection(stars: DataFrame, cap: int, key: str = "image_id") ->
     s = s.join(seeds, [key, "star_id"], "left").withColumn("_in", F.coalesce("_seed", F.lit(False)) | (C("_n") <= cap))
     taken = s.where("_seed").groupBy(key).agg(F.collect_list(F.struct("_u", "_v")).alias("_t"))  # at most one per quadrant
     square = lambda u, v: (C("_u") - u) * (C("_u") - u) + (C("_v") - v) * (C("_v") - v)
-    s = cut(s.join(taken, key).withColumn("_near", F.array_min(F.transform("_t", lambda t: square(t["_u"], t["_v"])))).drop("_t", "_seed"))
+    s = s.join(taken, key).withColumn("_near", F.array_min(F.transform("_t", lambda t: square(t["_u"], t["_v"])))).drop("_t", "_seed")
+    if images_fit(s.sparkSession):
+        told = ["star_id", "_u", "_v", "_near", "_in"]
+        a = s.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*told, "x", "y", "quadrant"))).alias("_a"))
+        a = a.select(key, F.filter(F.arrays_zip("_a", _farthest(cap)(*[C("_a")[n] for n in told]).alias("_k")), lambda e: e["_k"]).alias("_a"))
+        return a.select(key, F.explode("_a._a").alias("s")).select(key, *[C(f"s.{n}") for n in ("star_id", "x", "y", "quadrant")])
+    s = cut(s)
     rounds = s.groupBy(key).agg((F.least(F.lit(cap), F.count("*")) - F.count_if("_in")).alias("r")).agg(F.max("r")).first()[0] or 0
     for _ in range(rounds):
         free = F.when(~C("_in"), F.struct((-C("_near")).alias("d"), "star_id", "_u", "_v"))
@@ -58,7 +126,13 @@ def farthest_point_split(points: DataFrame, ratio: float = 0.25, key: str = "ima
     n = p.groupBy(key).agg(F.count("*").alias("_n"))
     want = F.when(C("_n") < 16, 0).otherwise(F.least(F.greatest(F.lit(4), F.ceil(C("_n") * ratio)), C("_n") - 12)).cast("int")
     size = p.groupBy(key, "quadrant").agg(F.count("*").alias("_size"))
-    p = cut(p.join(n.select(key, "_n", want.alias("_want")), key).join(size, [key, "quadrant"]).withColumns({"_held": F.lit(False), "_near": F.lit(float("inf"))}))
+    p = p.join(n.select(key, "_n", want.alias("_want")), key).join(size, [key, "quadrant"])
+    if images_fit(p.sparkSession):
+        a = p.groupBy(key, "_n", "_want").agg(F.sort_array(F.collect_list(F.struct("y", "x", "point_id", "quadrant", "_size"))).alias("_a"))
+        held = F.arrow_udf(_held_out, "array<boolean>")(*[C("_a")[c] for c in ("point_id", "x", "y", "quadrant", "_size")], "_want")
+        a = a.select(key, "_n", F.explode(F.arrays_zip("_a", held.alias("_held"))).alias("e"))
+        return _split(a.select(key, "_n", C("e._a").alias("s"), C("e._held").alias("_held")).select(key, "_n", "s.*", "_held"), key)
+    p = cut(p.withColumns({"_held": F.lit(False), "_near": F.lit(float("inf"))}))
     rounds = p.agg(F.max("_want")).first()[0] or 0
     for _ in range(rounds):
         used = p.groupBy(key, "quadrant").agg(F.count_if("_held").alias("_used"))
@@ -69,11 +143,15 @@ def farthest_point_split(points: DataFrame, ratio: float = 0.25, key: str = "ima
         p = p.join(best, key, "left")
         far = F.sqrt((C("x") - C("_b.x")) * (C("x") - C("_b.x")) + (C("y") - C("_b.y")) * (C("y") - C("_b.y")))
         p = cut(p.withColumns({"_held": C("_held") | F.coalesce(C("point_id") == C("_b.point_id"), F.lit(False)), "_near": F.least("_near", F.coalesce(far, C("_near")))}).drop("_b"))
-    sides = p.groupBy(key).agg(
-        F.count_if("_held").alias("_h"), F.count_if(~C("_held")).alias("_f"),
-        F.count_distinct(F.when(C("_held"), C("quadrant"))).alias("_hq"), F.count_distinct(F.when(~C("_held"), C("quadrant"))).alias("_fq"))
-    ok = (C("_n") >= 16) & (C("_h") >= 4) & (C("_f") >= 12) & (C("_hq") >= 3) & (C("_fq") >= 3)
-    return p.join(sides, key).select(key, "point_id", "x", "y", "quadrant", F.when(~ok, "insufficient").when(C("_held"), "validation").otherwise("fit").alias("split"))
+    return _split(p, key)
+
+
+def _split(p: DataFrame, key: str) -> DataFrame:
+    p = with_stats(p, [key], {
+        "_h": F.count_if("_held"), "_f": F.count_if(~C("_held")),
+        "_hq": F.collect_set(F.when(C("_held"), C("quadrant"))), "_fq": F.collect_set(F.when(~C("_held"), C("quadrant")))})
+    ok = (C("_n") >= 16) & (C("_h") >= 4) & (C("_f") >= 12) & (F.size("_hq") >= 3) & (F.size("_fq") >= 3)
+    return p.select(key, "point_id", "x", "y", "quadrant", F.when(~ok, "insufficient").when(C("_held"), "validation").otherwise("fit").alias("split"))
 
 
 def safe_samples(patches: DataFrame, side: int, per_cell: int = 1, bright_q: float = 0.60, texture_q: float = 0.70, key: str = "image_id") -> DataFrame:

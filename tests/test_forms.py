@@ -103,6 +103,25 @@ def test_star_selection_in_both_forms(spark):
         declare_image_size(spark, 256)
 
 
+def test_points_are_taken_in_one_pass_where_images_are_small(spark, monkeypatch):
+    g = np.random.default_rng(5)
+    data = [(i % 3, i if i % 19 else i - 3, float(g.integers(0, 9)), float(g.integers(0, 9)), int(g.integers(0, 4)), float(g.random()), 1 + float(g.random()), float(g.random())) for i in range(240)]
+    data += [(4, 500 + i, float(i), None if i == 7 else 2.0, i % 4, 0.1, 1.0, 1.0) for i in range(20)] + [(5, 700, 1.0, 1.0, 0, 0.1, 1.0, 1.0)]
+    df = spark.createDataFrame(data, "image_id long, star_id long, x double, y double, quadrant int, saturation_fraction double, aspect_ratio double, compactness double").cache()
+    pts = df.select("image_id", F.col("star_id").alias("point_id"), "x", "y", "quadrant")
+    declare_image_size(spark, 256)
+    with monkeypatch.context() as m:
+        m.setattr(selection, "cut", None)  # nothing is written in between
+        a, b = rows(selection.star_record_selection(df, 24)), rows(selection.farthest_point_split(pts))
+    spark.conf.unset(IMAGE_PIXELS)
+    try:
+        assert rows(selection.star_record_selection(df, 24)) == a and rows(selection.farthest_point_split(pts)) == b
+    finally:
+        declare_image_size(spark, 256)
+    assert len(b) == 261 and {r[-1] for r in b} == {"fit", "validation", "insufficient"}
+    assert selection.star_record_selection(df.where("false"), 24).count() == 0 and selection.farthest_point_split(pts.where("false")).count() == 0
+
+
 def greedy(a, b, r):
     pairs_ = sorted((float(np.hypot(ax - bx, ay - by)), i, j) for i, ax, ay in a for j, bx, by in b if np.hypot(ax - bx, ay - by) <= r)
     us, ut, out = set(), set(), []
