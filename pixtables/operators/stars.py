@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.fixed import clamp
 from ..functions.text import angular_distance
-from ..session import cut
+from ..session import cut, saved, tasks_for
 from .components import connected_components
 from .quantiles import quantiles, robust_sigma, with_quantiles
 
@@ -258,26 +258,50 @@ def sigma_clip(stars: DataFrame, keys: Sequence[str], rounds: int = 3, minimum:
     return d
 
 
+def _sky_pairs(sky: DataFrame, frames: DataFrame, share: float) -> DataFrame:
+    """Frames with the sky objects within ``share`` of their tolerance; cells shrink with the share."""
+    high, cells = 5.0 * share, round(36.0 / share)
+    width = 360.0 / cells
+    reach = C("_tol") * share
+    top = F.least(F.abs("dec_deg") + reach, F.lit(90.0))
+    wide = F.when(top >= 89.0, F.lit(180.0)).otherwise(F.least(F.degrees(F.asin(F.least(F.sin(F.radians(reach)) / F.cos(F.radians(top)), F.lit(1.0)))) + 0.01, F.lit(180.0)))
+    band = lambda e: F.floor((e + 90.0) / high).cast("int")
+    s = sky.withColumn("_w", wide).select("*", F.explode(F.sequence(band(C("dec_deg") - reach - 0.01), band(C("dec_deg") + reach + 0.01))).alias("_band"))
+    lo, hi = F.floor((C("ra_deg") - C("_w")) / width), F.floor((C("ra_deg") + C("_w")) / width)
+    s = s.select("*", F.explode(F.array_distinct(F.transform(F.sequence(lo, hi), lambda i: F.pmod(i, F.lit(cells))))).alias("_ra"))
+    f = frames.select("frame_id", C("ra_deg").alias("fra"), C("dec_deg").alias("fdec"), band(C("dec_deg")).alias("_band"), F.pmod(F.floor(C("ra_deg") / width), F.lit(cells)).alias("_ra"))
+    # a frame meets many objects, so tasks are sized by frames, not by the bytes before the join
+    f = f.repartition(tasks_for(f, 20_000), "_band", "_ra")
+    return f.join(s, ["_band", "_ra"]).withColumn("distance", angular_distance(C("fra"), C("fdec"), C("ra_deg"), C("dec_deg"))).where(C("distance") <= reach)
+
+
 def sky_match(sky: DataFrame, frames: DataFrame) -> DataFrame:
     """Best catalogue object per frame by great-circle distance within its tolerance.
 
     Declination bands of 5 and right-ascension buckets of 10 degrees are equi keys. A
     sky object is sent to every bucket its tolerance circle can touch (all of them near
-    a pole); right ascension wraps by modulo.
+    a pole); right ascension wraps by modulo. The score falls with distance over tolerance
+    alone, so where the catalogue is dense, frames are first matched within a small share
+    of the tolerance over finer cells, and only those without a match there look further:
+    a frame meets a few objects however long the catalogue is.
     """
     tol = F.greatest(F.lit(1.2), C("size_arcmin") / 120.0 * 1.35 + 0.35)
-    s = sky.withColumn("_tol", tol)
-    top = F.least(F.abs("dec_deg") + C("_tol"), F.lit(90.0))
-    wide = F.when(top >= 89.0, F.lit(180.0)).otherwise(F.least(F.degrees(F.asin(F.least(F.sin(F.radians("_tol")) / F.cos(F.radians(top)), F.lit(1.0)))) + 0.01, F.lit(180.0)))
-    band = lambda e: F.floor((e + 90.0) / 5.0).cast("int")
-    s = s.withColumn("_w", wide).select("*", F.explode(F.sequence(band(C("dec_deg") - C("_tol") - 0.01), band(C("dec_deg") + C("_tol") + 0.01))).alias("_band"))
-    lo, hi = F.floor((C("ra_deg") - C("_w")) / 10.0), F.floor((C("ra_deg") + C("_w")) / 10.0)
-    s = s.select("*", F.explode(F.array_distinct(F.transform(F.sequence(lo, hi), lambda i: F.pmod(i, F.lit(36))))).alias("_ra"))
-    f = frames.select("frame_id", C("ra_deg").alias("fra"), C("dec_deg").alias("fdec"), band(C("dec_deg")).alias("_band"), F.pmod(F.floor(C("ra_deg") / 10.0), F.lit(36)).alias("_ra"))
-    j = f.join(s, ["_band", "_ra"]).withColumn("distance", angular_distance(C("fra"), C("fdec"), C("ra_deg"), C("dec_deg"))).where(C("distance") <= C("_tol"))
+    sky = sky.select("sky_id", "name", "ra_deg", "dec_deg", tol.alias("_tol"))
+    shares, in_cell = [1.0], sky.count() / 825.0  # objects in a cell of 50 of the 41,253 square degrees
+    while in_cell > 16 and len(shares) < 8:
+        shares, in_cell = [shares[0] * 0.4, *shares], in_cell * 0.16
     score = F.greatest(F.lit(0.78), F.least(F.lit(0.98), F.lit(0.98) - C("distance") / F.greatest("_tol", F.lit(1e-6)) * 0.18))
     best = F.min(F.struct((-score).alias("s"), C("sky_id"), C("name"), C("distance"))).alias("b")
-    return j.groupBy("frame_id").agg(best).select("frame_id", C("b.sky_id").alias("sky_id"), C("b.name").alias("name"), (-C("b.s")).alias("score"), C("b.distance").alias("distance"))
+    out, left = None, frames.select("frame_id", "ra_deg", "dec_deg")
+    for share in shares:
+        found = _sky_pairs(sky, left, share).groupBy("frame_id").agg(best).select("frame_id", C("b.sky_id").alias("sky_id"), C("b.name").alias("name"), (-C("b.s")).alias("score"), C("b.distance").alias("distance"))
+        if share < 1.0:
+            # whatever lies beyond the share scores less; a match at its very edge looks further
+            found = saved(found.where(C("score") > 0.98 - 0.18 * (share - 1e-6)), "sky")
+            done = found.select(C("frame_id").alias("_done"))
+            left = left.join(done, C("frame_id").eqNullSafe(C("_done")), "left_anti")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 IDENTIFIER = r"^(m|ngc|ic|caldwell|barnard)[\s_-]*(\d+)$"

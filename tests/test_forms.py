@@ -153,3 +153,27 @@ def test_pareto_order_does_not_depend_on_partitions(spark, sf):
 
     c = candidates(spark, sf).cache()
     assert rows(ranks.pareto_dense_rank(c, ["image_id"])) == rows(ranks.pareto_dense_rank(c.repartition(13), ["image_id"]))
+
+
+def test_sky_match_in_a_dense_catalogue(spark):
+    from pixtables.operators import stars
+
+    g = np.random.default_rng(11)
+    sky = [(i, f"s{i}", float(g.random() * 360), float(g.random() * 12 + (78 if i % 2 else -6)), float(20 + i % 170)) for i in range(20_000)]
+    frames = [(i if i % 40 else None, float(g.random() * 360), float(g.random() * 14 + (76 if i % 2 else -7))) for i in range(400)] + [(1000 + i, s[2], s[3]) for i, s in enumerate(sky[:20])] + [(2000, None, 1.0), (2001, 10.0, 45.0)]
+    got = {r.frame_id: (r.sky_id, round(r.score, 9)) for r in stars.sky_match(
+        spark.createDataFrame(sky, "sky_id long, name string, ra_deg double, dec_deg double, size_arcmin double"), spark.createDataFrame(frames, "frame_id long, ra_deg double, dec_deg double")).collect()}
+    ra, dec, tol = np.radians([s[2] for s in sky]), np.radians([s[3] for s in sky]), np.maximum(1.2, np.array([s[4] for s in sky]) / 120.0 * 1.35 + 0.35)
+    want = {}
+    for i, a, d in frames:
+        if a is None:
+            continue
+        a, d = np.radians(a), np.radians(d)
+        dist = np.degrees(np.arccos(np.clip(np.sin(d) * np.sin(dec) + np.cos(d) * np.cos(dec) * np.cos(a - ra), -1, 1)))
+        score = np.where(dist <= tol, 0.98 - dist / tol * 0.18, -1)
+        k = int(np.argmax(score))
+        if score[k] > 0 and (i not in want or score[k] > want[i][1]):
+            want[i] = (k, score[k])
+    assert got == {i: (k, round(float(s), 9)) for i, (k, s) in want.items()}
+    pairs = stars._sky_pairs(spark.createDataFrame(sky, "sky_id long, name string, ra_deg double, dec_deg double, size_arcmin double").withColumn("_tol", F.lit(1.2)), spark.createDataFrame(frames, "frame_id long, ra_deg double, dec_deg double"), 0.16)
+    assert pairs.count() < 10 * len(frames)
