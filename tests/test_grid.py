@@ -80,3 +80,39 @@ def test_spiral_component(spark):
     df = spark.createDataFrame(data, "image_id long, y int, x int, on boolean").repartition("image_id")
     a = components.areas(components.connected_components(df, ["image_id"], C("on"), 9, tile=4), ["image_id"])
     assert sorted(r["area"] for r in a.collect()) == [1, 3, sum(row.count("#") for row in pic[:9])]
+
+
+@pytest.mark.parametrize("size", [256, None])
+def test_repeated_blur_equals_as_many_box_blurs(spark, size):
+    """Full, gapped, one-line and null-holding images, in the form of arrays (256) and of windows."""
+    a = np.random.default_rng(5).random((9, 7))
+    rows = [(1, y, x, 9, 7, float(a[y, x])) for y in range(9) for x in range(7)]
+    rows += [(2, y, x, 9, 7, float(a[y, x])) for y in range(9) for x in range(7) if (y * 7 + x) % 5]
+    rows += [(3, y, x, 9, 7, None if (y + x) % 4 == 0 else float(a[y, x])) for y in range(9) for x in range(7)]
+    rows += [(4, 0, x, 1, 7, float(a[0, x])) for x in range(7)] + [(None, 0, 0, 1, 1, 0.5)]
+    df = spark.createDataFrame(rows, "image_id long, y int, x int, h int, w int, l double")
+    declare_image_size(spark, size or 10**9)
+    got = grid.repeated_blur(df, "l", {1: "a", 3: "b"})
+    assert got.columns == [*df.columns, "a", "b"]
+    want, cur = df, "l"
+    for name in ("a", "_2", "b"):
+        want, cur = grid.box_blur(want, {cur: name}, 1), name
+    key = lambda r: (r.image_id or 0, r.y, r.x)
+    got, want = (sorted(t.select("image_id", "y", "x", "l", "a", "b").collect(), key=key) for t in (got, want.select(*got.columns)))
+    declare_image_size(spark, 256)
+    assert got == want and len(got) == len(rows)
+
+
+def test_tables_of_several_branches_are_computed_once(spark):
+    """Every branch of a measure reads the kept table; before, each one repeated all passes below it."""
+    from pixtables.operators import pairs
+
+    declare_image_size(spark, 256)
+    df = spark.range(256).select(F.lit(1).cast("long").alias("image_id"), F.floor(C("id") / 16).cast("int").alias("y"), (C("id") % 16).cast("int").alias("x"), F.lit(16).alias("h"), F.lit(16).alias("w"), (C("id") % 37 / 37).alias("l"))
+    g = df.select("*", C("l").alias("r"), C("l").alias("g"), C("l").alias("b"), F.lit(1.0).alias("subject"), F.lit(1.0).alias("background"))
+    two = g.select("*", *[C(c).alias(f"{c}2") for c in "rgbl"])
+    points = g.where("y % 4 = 2 and x % 4 = 2").select("image_id", (C("y") * 16 + C("x")).alias("point_id"), F.lit("fit").alias("split"), "y", "x")
+    patches = background.patch_stats(background.patch_join(points, g.select("image_id", "y", "x", "l"), 2), 2)
+    for out in (background.pattern_noise(g), pairs.reference_metrics(g), pairs.colour_report(two, ["subject"]), background.model_compare(patches, 16)):
+        plan = out._jdf.queryExecution().withCachedData().toString()
+        assert "InMemoryRelation" in plan
