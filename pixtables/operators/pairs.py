@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import pixel as px
 from ..functions.fixed import clamp
+from ..session import shared
 from .grid import box_blur
 from .quantiles import correlation, quantiles, robust_sigma, weighted_quantiles, with_quantiles, with_stats
 
@@ -64,6 +65,7 @@ def colour_report(pair: DataFrame, rois: list[str], key: str = "image_id") -> Da
         "_ch": (F.greatest(*[F.abs(C(f"{c}2") - C(c)) for c in "rgb"]) > 1e-4).cast("double")})
     roi = F.explode(F.array(*[F.struct(F.lit(n).alias("roi"), C(n).alias("w")) for n in rois]))
     d = d.select(key, "_dl", "_dc", "_dh", "_hs", "_ch", roi.alias("m")).select(key, "_dl", "_dc", "_dh", "_hs", "_ch", C("m.roi").alias("roi"), clamp(C("m.w")).alias("w"))
+    d = shared(d)
     k = [key, "roi"]
     out = weighted_quantiles(d, k, C("_dl"), C("w"), {"luma_p50": 0.5, "luma_p95": 0.95}).drop("wmean")
     out = out.join(weighted_quantiles(d, k, C("_dc"), C("w"), {"chroma_p50": 0.5, "chroma_p95": 0.95}).drop("samples", "weight_sum", "wmean"), k, "left")
