@@ -167,7 +167,7 @@ def structure_correlation(pair: DataFrame, key: str = "image_id") -> DataFrame:
 def reference_metrics(grid: DataFrame, key: str = "image_id") -> DataFrame:
     """Saturation, fine and coarse sigma, contrast and shares of extreme pixels."""
     d = box_blur(grid, {"l": "_s1"}, 1, [key])
-    d = box_blur(d, {"l": "_s4"}, 4, [key])
+    d = shared(box_blur(d, {"l": "_s4"}, 4, [key]))
     sat = px.saturation_hsv(C("r"), C("g"), C("b"))
     q = quantiles(d, [key], [(F.when(C("subject") > 0.25, sat), {"saturation": 0.5}), (C("l"), {"_p05": 0.05, "_p95": 0.95})])
     s = robust_sigma(d, [key], {"fine": F.when(C("background") > 0.5, C("l") - C("_s1")), "coarse": F.when(C("background") > 0.5, C("_s4"))})
