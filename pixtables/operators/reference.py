@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.fixed import fixed
 from ..functions.pixel import luminance
-from ..session import saved
+from ..session import saved, shared
 from .background import patch_join, plane_fit
 from .components import connected_components
 from .grid import step_back
@@ -41,7 +41,7 @@ def patch_measures(points: DataFrame, pix: DataFrame, r: int, key: str = "image_
     d = pix.select(key, "y", "x", *RGB, luminance(*[C(c) for c in RGB]).alias("l"))
     d = d.withColumn("_gx", F.abs(C("l") - step_back(d, "l", "x", [key]))).withColumn("_gy", F.abs(C("l") - step_back(d, "l", "y", [key])))
     g = [key, "point_id", "split", "py", "px"]
-    p = with_quantiles(patch_join(points, d, r, key), g, [(C("l"), {"_lm": 0.5})], whole=True)
+    p = shared(with_quantiles(patch_join(points, d, r, key), g, [(C("l"), {"_lm": 0.5})], whole=True))
     q = quantiles(p, g, [
         *[(C(c), {f"m{c}": 0.5}) for c in RGB], (F.when(C("bx") > 0, C("_gx")), {"gx": 0.5}), (F.when(C("by") > 0, C("_gy")), {"gy": 0.5}), (F.abs(C("l") - C("_lm")), {"texture": 0.5})], whole=True)
     sound = F.bool_and(C("l").isNotNull() & ~F.isnan("l") & (F.abs("l") < float("inf")))
@@ -108,7 +108,7 @@ def judged(pix: DataFrame, held: DataFrame, back: DataFrame, r: int, key: str =
     p = p.withColumn("_on", subject).withColumn("_s1", pos("r") + pos("g") + pos("b")).withColumn("_s2", pos("r2") + pos("g2") + pos("b2"))
     valid = C("_on") & (C("_s1") > 1e-8) & (C("_s2") > 1e-8)
     far = [pos(f"{c}2") / C("_s2") - pos(c) / C("_s1") for c in RGB]
-    p = p.withColumn("_far", F.when(valid, F.sqrt(far[0] * far[0] + far[1] * far[1] + far[2] * far[2])))
+    p = shared(p.withColumn("_far", F.when(valid, F.sqrt(far[0] * far[0] + far[1] * far[1] + far[2] * far[2]))))
     hot = lambda s: F.avg((F.greatest(*[C(f"{c}{s}") for c in RGB]) >= 0.999).cast("int"))
     dark = lambda s: F.avg((F.least(*[C(f"{c}{s}") for c in RGB]) <= 1.0 / 65535.0).cast("int"))
     clip = p.groupBy(key).agg((hot("2") - hot("")).alias("highlight_growth"), (dark("2") - dark("")).alias("black_growth"), F.count_if("_on").alias("_mask"), F.first("_q98").alias("_q98"))
@@ -255,6 +255,7 @@ def auto_reference(pix: DataFrame, points: DataFrame, r: int, minimum: int = 16,
     (white_reasons null). Where the white rectangle is not accepted, the background stays. At most
     ``cap`` stars of an image are analysed, as the rule demands, so its stars are one small group.
     """
+    pix = shared(pix)
     m = saved(patch_measures(points, pix, r, key), "measures")
     base = saved(background_reference(pix, points, r, key, m), "base")
     on = base.where(F.size("reasons") == 0)
