@@ -188,3 +188,27 @@ def test_stages_on_edge_rows(spark, tmp_path):
     secret = spark.createDataFrame([(1, "a token: abcdefgh b", 19)], "doc_id long, text string, n_chars int")
     r = corpus_pipeline.secrets_redacted(spark, secret, folder).first()
     assert r.text == "a [SECRET] b" and r.n_chars == len(r.text)
+
+
+def test_join_of_texts_with_a_common_part(spark):
+    """Texts that share a long part and differ elsewhere: their regions hold the whole family, their links are few."""
+    rng = random.Random(12)
+    part = [f"c{k}" for k in range(70)]
+    texts = {}
+    for d in range(120):
+        own = [f"o{rng.randrange(60)}" for _ in range(rng.randrange(8, 60))]
+        texts[d] = " ".join(part + own)
+        if d % 10 == 0:
+            texts[1000 + d] = " ".join(part + own[:-1] + ["end"])
+    assert joined(spark, texts) == brute(texts)
+
+
+def test_family_is_not_spread_over_pivots(spark, monkeypatch):
+    """Members of one family are expanded once a member, not once for each pivot of their sketch regions."""
+    seen = []
+    old = jaccard_join._entries
+    monkeypatch.setattr(jaccard_join, "_entries", lambda rows, first=False: seen.append(rows.count()) or old(rows, first))
+    rng = random.Random(3)
+    texts = {d: " ".join([f"c{k}" if rng.random() < 0.995 else f"n{d}x{k}" for k in range(70)] + [f"o{d}x{k}" for k in range(30)]) for d in range(200)}
+    assert joined(spark, texts) == brute(texts)
+    assert max(seen[1:]) <= sum(len(shingles(t)) for t in texts.values())
