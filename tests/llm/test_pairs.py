@@ -212,3 +212,76 @@ def test_family_is_not_spread_over_pivots(spark, monkeypatch):
     texts = {d: " ".join([f"c{k}" if rng.random() < 0.995 else f"n{d}x{k}" for k in range(70)] + [f"o{d}x{k}" for k in range(30)]) for d in range(200)}
     assert joined(spark, texts) == brute(texts)
     assert max(seen[1:]) <= sum(len(shingles(t)) for t in texts.values())
+
+
+def covered_runs(docs, got, size=50):
+    """(document, start) of runs of words that two documents hold and no row covers."""
+    runs = defaultdict(set)
+    for d, w in docs.items():
+        for i in range(len(w) - size + 1):
+            runs[tuple(w[i : i + size])].add(d)
+    covered = defaultdict(set)
+    for r in got:
+        covered[r.doc_id] |= {(i, i + size) for i in range(r.start, r.end - size + 1)}
+    return {(d, i) for d, w in docs.items() for i in range(len(w) - size + 1) if len(runs[tuple(w[i : i + size])]) > 1 and (i, i + size) not in covered[d]}
+
+
+def test_passages_of_stock_sentences(spark):
+    """Two texts share 120 words of four stock sentences, each of which many other texts hold too."""
+    rng = random.Random(8)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    docs = {}
+    for k in range(12):
+        stock = [fresh(30) for _ in range(4)]
+        for d in range(80):
+            docs[1000 * k + d] = fresh(40) + stock[d % 4] + fresh(40)
+        for d in (150, 151):
+            docs[1000 * k + d] = fresh(60) + [w for part in stock for w in part] + fresh(60)
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], "doc_id long, text string")
+    got = substring_dedup.shared_passages(df).collect()
+    assert {(r.doc_id, r.start, r.end, r.other_doc_id) for r in got} >= {(1000 * k + d, 60, 180, 1000 * k + 301 - d) for k in range(12) for d in (150, 151)}
+    assert not covered_runs(docs, got)
+
+
+def test_passages_mixed_of_common_lines(spark):
+    """Texts made of lines that very many texts hold: each run of 50 words that two of them hold is covered."""
+    rng = random.Random(5)
+    lines = [[f"l{k}w{i}" for i in range(rng.randrange(9, 30))] for k in range(12)]
+    docs = {d: [w for _ in range(rng.randrange(2, 9)) for w in rng.choice(lines)] for d in range(150)}
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], "doc_id long, text string")
+    assert not covered_runs(docs, substring_dedup.shared_passages(df).collect())
+
+
+def test_alignment_has_no_limits_of_length():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    a = rng.integers(0, 10**9, 3000)
+    b = np.delete(a, [700, 2100])
+    assert substring_dedup.common_words(a, b) == 2998
+    assert substring_dedup.reach(np.arange(9000), np.arange(9000)) == (9000, 9000)
+    for n, m in ((40, 25), (7, 30), (0, 5)):
+        x, y = rng.integers(0, 6, n), rng.integers(0, 6, m)
+        row = [0] * (m + 1)
+        for v in x:
+            new = [0]
+            for j, w in enumerate(y):
+                new.append(max(row[j + 1], new[j], row[j] + (v == w)))
+            row = new
+        assert substring_dedup.common_words(x, y) == row[-1]
+    # a chain over a wide unequal gap falls apart into its passages
+    left, right = np.arange(100), np.arange(1000, 1100)
+    x, y = np.concatenate([left, np.arange(5000, 5450), right]), np.concatenate([left, np.arange(7000, 7450), right])
+    assert sorted(substring_dedup.passages(x, y, [[0, 0, 100, 550, 550, 100]])) == [(0, 100, 0, 100, 100), (550, 650, 550, 650, 100)]
+    assert sorted(substring_dedup.passages(x, y, [[0, 0, 650]])) == [(0, 100, 0, 100, 100), (550, 650, 550, 650, 100)]
+
+
+def test_passages_of_a_text_that_repeats_itself():
+    """Only the passage of the whole texts is left of the many diagonals; one that reaches outside it stays."""
+    import numpy as np
+
+    a = np.tile(np.arange(60), 20)
+    diagonals = [[0, 0, 1200]] + [[60 * i, 0, 60] for i in range(1, 20)] + [[0, 60 * i, 60] for i in range(1, 20)]
+    assert substring_dedup.passages(a, a, diagonals) == [(0, 1200, 0, 1200, 1200)]
+    b = np.concatenate([a[:60], np.arange(9000, 9500), a[:60]])
+    assert sorted(substring_dedup.passages(a[:60], b, [[0, 0, 60], [0, 560, 60]])) == [(0, 60, 0, 60, 60), (0, 60, 560, 620, 60)]
