@@ -119,3 +119,21 @@ def test_tables_of_pixels_are_not_broadcast_by_their_file_size(spark, sf):
     plan = cells._jdf.queryExecution().executedPlan().toString()
     session.configure(spark)
     assert "BroadcastExchange" not in plan and spark.conf.get("spark.sql.autoBroadcastJoinThreshold") != "-1"
+
+
+def test_scans_make_tasks_for_their_rows(spark, tmp_path):
+    """Before, files were read in as many tasks as there are cores, whatever their rows."""
+    from pixtables import session
+    from pixtables.sources import fixtures
+
+    d = str(tmp_path)
+    spark.range(400_000).select((F.col("id") % 50).alias("l_suppkey"), F.col("id").alias("l_orderkey"), (F.col("id") % 9).alias("l_partkey"), *[F.col("id").cast("double").alias(f"l_{c}") for c in ("quantity", "extendedprice", "discount")]).repartition(40).write.parquet(f"{d}/lineitem.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    try:
+        session.scan_tasks(spark, 40)
+        assert spark.read.parquet(f"{d}/lineitem.parquet").rdd.getNumPartitions() == 40 > cores
+        fixtures.px(spark, d)
+        assert spark.conf.get("spark.sql.files.minPartitionNum") == str(max(cores, 3))
+    finally:
+        session.configure(spark)
+    assert spark.read.parquet(f"{d}/lineitem.parquet").rdd.getNumPartitions() < 40
