@@ -103,6 +103,19 @@ def test_repeated_blur_equals_as_many_box_blurs(spark, size):
     assert got == want and len(got) == len(rows)
 
 
+def test_blurred_measures_sort_an_image_a_few_times(spark):
+    """Before, each pass over a small image took two windows, and each window sorted all rows of a task."""
+    from pixtables.operators import pairs
+
+    declare_image_size(spark, 256)
+    df = spark.range(256).select(F.lit(1).cast("long").alias("image_id"), F.floor(C("id") / 16).cast("int").alias("y"), (C("id") % 16).cast("int").alias("x"), F.lit(16).alias("h"), F.lit(16).alias("w"), (C("id") % 37 / 37).alias("l"))
+    g = df.select("*", C("l").alias("r"), C("l").alias("g"), C("l").alias("b"))
+    windows = lambda t: t._jdf.queryExecution().optimizedPlan().toString().count("Window [")
+    assert windows(pairs.target_local(g.select("*", *[C(c).alias(f"{c}2") for c in "rgbl"]))) <= 1
+    # the plan reads the grid in two branches, each with the chroma pass and the quantile of the sky
+    assert windows(background.background_quality(g, 4)) <= 8
+
+
 def test_tables_of_several_branches_are_computed_once(spark):
     """Every branch of a measure reads the kept table; before, each one repeated all passes below it."""
     from pixtables.operators import pairs
