@@ -285,3 +285,20 @@ def test_passages_of_a_text_that_repeats_itself():
     assert substring_dedup.passages(a, a, diagonals) == [(0, 1200, 0, 1200, 1200)]
     b = np.concatenate([a[:60], np.arange(9000, 9500), a[:60]])
     assert sorted(substring_dedup.passages(a[:60], b, [[0, 0, 60], [0, 560, 60]])) == [(0, 60, 0, 60, 60), (0, 60, 560, 620, 60)]
+
+
+def test_segments_of_many_pairs_at_once():
+    """Anchors of all pairs of a batch are merged together; before, each pair was sorted by itself."""
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    pair = np.repeat(np.arange(40), r.integers(2, 30, 40))
+    x, y = r.integers(0, 200, len(pair)), r.integers(0, 200, len(pair))
+    of, seg = substring_dedup.segments_of(pair, x, y)
+    for k in range(40):
+        assert (seg[of == k] == substring_dedup.segments(x[pair == k], y[pair == k])).all()
+    g = r.integers(0, 3, 70_000).astype(np.uint64)  # ties: the first of equal ones, over the edge of a piece too
+    assert all(at == i + int(np.argmin(g[i : i + 16])) for i, at in list(enumerate(substring_dedup.lowest(g).tolist()))[65_400:65_700])
+    same = np.arange(100)
+    other = np.where(np.isin(same, [3, 40, 41, 42, 43]), -1, same)
+    assert substring_dedup.reach(same, other) == (40, 39) and substring_dedup.reach(same[:20], other[:20]) == (20, 19)
