@@ -10,6 +10,7 @@ from ..operators import evidence as ev
 from ..operators import sampling
 from ..operators import selection as op
 from ..operators.quantiles import quantiles
+from ..session import broadcast_nothing
 from ..sources import fixtures as fx
 from .background import _PTS, patch_ctes, plane_ctes, pts
 from .colour import _CV, _PTS as CURVE, K3, rsel
@@ -173,7 +174,8 @@ def grouped_kernels(spark, d):
 @query("safe_background_samples")
 def safe_background_samples(spark, d):
     # images of 16 x 16 pixels: patches of 2 pixels to each side, and as few samples as the rule allows
-    chosen, report = sampling.safe_background_samples(fx.dlum(spark, d), target=16, least=12, radius=2, least_radius=2)
+    pix = fx.dlum(broadcast_nothing(spark), d)
+    chosen, report = sampling.safe_background_samples(pix, target=16, least=12, radius=2, least_radius=2)
     # each image has a row, those without a sample too
     out = report.withColumnRenamed("refined", "may_walk").join(chosen, "image_id", "left")
     return rounded(out, "median", "texture", "star_excess", "residual", "risk", "x_span", "y_span", "usable_sky", "source_share", "star_share", "low_limit", "bright_limit", "residual_low", "residual_high", "texture_limit", "star_limit")

@@ -1,6 +1,7 @@
 """Nothing is cut at a fixed size: long headers, many cards, many candidates, long objects."""
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from pixtables.operators import evidence, ranks, selection
@@ -137,3 +138,24 @@ def test_scans_make_tasks_for_their_rows(spark, tmp_path):
     finally:
         session.configure(spark)
     assert spark.read.parquet(f"{d}/lineitem.parquet").rdd.getNumPartitions() < 40
+
+
+def test_safe_background_samples_broadcast_nothing(spark, sf, monkeypatch):
+    """Before, each of some thirty joins with one row an image was sent through the driver."""
+    from pixtables import session
+    from pixtables.operators import sampling
+    from pixtables.plans import QUERIES
+
+    sizes = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+    def met(pix, **limits):
+        raise LookupError(*[spark.conf.get(k) for k in sizes])
+
+    monkeypatch.setattr(sampling, "safe_background_samples", met)
+    try:
+        with pytest.raises(LookupError) as e:
+            QUERIES["safe_background_samples"](spark, sf)
+        assert e.value.args == ("-1", "-1")
+    finally:
+        session.configure(spark)
+    assert "-1" not in [spark.conf.get(k) for k in sizes]
