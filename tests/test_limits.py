@@ -109,6 +109,22 @@ def test_slope_of_held_out_points_that_are_all_alike(spark):
     assert (got.r, got.rg_selected, got.bg_selected) == (0.5, False, False)
 
 
+def test_slope_of_fit_points_on_one_line(spark):
+    """Before, points that span no plane, and groups without any value, were a division by zero."""
+    from pixtables.operators import background
+
+    held = [("validation", i, 3 * i) for i in range(4)]
+    fits = {1: [("fit", 2, 2)], 2: [("fit", 2, 2), ("fit", 2, 10)], 3: [("fit", 2, 2), ("fit", 6, 2), ("fit", 10, 2)], 4: [("fit", i, j) for i in (2, 6, 10) for j in (2, 7, 10)]}
+    points = [(m, i, s, y, x, 0.5 + 0.02 * x, 0.01 * y) for m, given in fits.items() for i, (s, y, x) in enumerate(given + held)]
+    patches = spark.createDataFrame(points, "image_id long, point_id long, split string, py int, px int, rg double, bg double")
+    pix = spark.createDataFrame([(m, 0, 15, 0.5, 0.4, 0.3) for m in fits], "image_id long, y int, x int, r double, g double, b double")
+    got = {r.image_id: (round(r.r, 6), r.rg_selected, r.bg_selected) for r in selection.opponent_slope(patches, pix, 16).collect()}
+    assert {got.pop(m) for m in (1, 2, 3)} == {(0.5, False, False)} and got[4][1:] == (True, True)
+    rows = [(1, 0.0, 0.0, 5.0), (2, 0.0, 0.0, None), (2, 1.0, 0.0, None), (2, 0.0, 1.0, None)]
+    fit = background.plane_fit(spark.createDataFrame(rows, "image_id long, x double, y double, v double"), ["image_id"], F.col("x"), F.col("y"), F.col("v"))
+    assert {r.image_id: (r.samples, r.rank, r.slope_x, r.sigma, r.rms, r.unit_x) for r in fit.collect()} == {1: (1, 2, None, None, 0.0, None), 2: (0, 3, None, None, None, None)}
+
+
 def test_tables_of_pixels_are_not_broadcast_by_their_file_size(spark, sf):
     from pixtables import session
     from pixtables.operators import background
