@@ -283,6 +283,8 @@ def test_passages_of_a_text_that_repeats_itself():
     a = np.tile(np.arange(60), 20)
     diagonals = [[0, 0, 1200]] + [[60 * i, 0, 60] for i in range(1, 20)] + [[0, 60 * i, 60] for i in range(1, 20)]
     assert substring_dedup.passages(a, a, diagonals) == [(0, 1200, 0, 1200, 1200)]
+    # a chain that leaves the diagonal of two equal texts and comes back to it
+    assert substring_dedup.passages(a, a, [[0, 0, 300, 300, 360, 60, 420, 420, 780]]) == [(0, 1200, 0, 1200, 1200)]
     b = np.concatenate([a[:60], np.arange(9000, 9500), a[:60]])
     assert sorted(substring_dedup.passages(a[:60], b, [[0, 0, 60], [0, 560, 60]])) == [(0, 60, 0, 60, 60), (0, 60, 560, 620, 60)]
 
